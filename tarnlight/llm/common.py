@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
@@ -44,6 +46,7 @@ def cleanup(spark: SparkSession) -> None:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text with null as empty, and further columns by name; anything else the table has is left out."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
