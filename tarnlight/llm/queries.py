@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_duplicates
 from .mixing import mix
+from .neighbours import nearest
 from .packing import pack_documents
+from .simhash import near_duplicates
 from .token_count import token_counts
 from .token_store import round_trip
 
@@ -42,8 +44,16 @@ WINDOW same AS (PARTITION BY t)
 """
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=2)
+
+
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_count, op3_best_fit_packing, op4_token_store, op5_source_mix, op8_exact_dedup]
+    found = [op1_token_count, op3_best_fit_packing, op4_token_store, op5_source_mix, op6_simhash_dedup, op8_exact_dedup, op10_projection_forest]
     return {f.__name__: f for f in found}
 
 
