@@ -61,21 +61,44 @@ def packed(ids: list[int], code: str) -> bytes:
     return out.tobytes()
 
 
+PUNCTUATION = ".,;:!?*$%&#"
+
+
+def simple(core: str) -> bool:
+    """Whether this is one run of letters to every vocabulary's rules: letters up to U+024F, without marks once lower-cased."""
+    return core.isalpha() and (core.isascii() or (max(core) < "\u0250" and core.lower().isalpha()))
+
+
+class Runs(Pieces):
+    """Ids of single runs of letters, straight from the library's merges: the rules that split texts have nothing to do there."""
+
+    def __init__(self, tokenizer, code: str, lead: str = ""):
+        from .token_count import byte_symbols
+
+        merge, symbol = tokenizer.model.tokenize, dict(enumerate(byte_symbols()))
+        super().__init__(lambda run: packed([t.id for t in merge((lead + run).encode().decode("latin-1").translate(symbol))], code))
+
+
 class ByteLevelIds:
     """Ids of a byte-level vocabulary, packed little-endian; code is 'H' (ids below 65536) or 'I'."""
 
     def __init__(self, path: str, code: str):
         self.library, self.code = library(path), code
-        self.spaced = Pieces(lambda p: self._piece(p, " "))
-        self.bare = Pieces(lambda p: self._piece(p, ""))
+        self.spaced = Pieces(lambda p: self._piece(p, " ", spaced_runs))
+        self.bare = Pieces(lambda p: self._piece(p, "", bare_runs))
+        self.tails = Pieces(self._ids)
+        spaced_runs, bare_runs = Runs(self.library, code, " "), Runs(self.library, code)
         self.newline = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
         return packed(self.library.encode(text, add_special_tokens=False).ids, self.code)
 
-    def _piece(self, piece: str, lead: str) -> bytes:
+    def _piece(self, piece: str, lead: str, runs: Runs) -> bytes:
         if not piece or piece[0].isspace():
             raise Entangled
+        core = piece.rstrip(PUNCTUATION)
+        if simple(core):
+            return runs[core] + self.tails[piece[len(core) :]]
         return self._ids(lead + piece)
 
     def encode(self, text: str) -> bytes:
@@ -106,11 +129,18 @@ class WordIds:
 
     def __init__(self, path: str, code: str):
         self.library, self.code = library(path), code
-        self.pieces = Pieces(self._ids)
+        self.pieces = Pieces(self._piece)
+        self.runs, self.tails = Runs(self.library, code), Pieces(self._ids)
 
     def _ids(self, text: str) -> bytes:
         return packed(self.library.encode(text, add_special_tokens=False).ids, self.code) if text else b""
 
+    def _piece(self, piece: str) -> bytes:
+        core = piece.rstrip(PUNCTUATION)
+        if simple(core):
+            return self.runs[core.lower()] + self.tails[piece[len(core) :]]
+        return self._ids(piece)
+
     def encode(self, text: str) -> bytes:
         if "<|" in text:
             return self._ids(text)
