@@ -9,18 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .line_dedup import line_duplicates
 from .mixing import mix
 from .neighbours import nearest
 from .packing import pack_documents
+from .quality import quality
 from .simhash import near_duplicates
 from .token_count import token_counts
 from .token_store import round_trip
+from .url_filter import judged
 
 
 def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
@@ -33,6 +40,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(table(spark, sf_dir, "documents"), width=5, similarity="0.8")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,12 +59,19 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=2)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_count, op3_best_fit_packing, op4_token_store, op5_source_mix, op6_simhash_dedup, op8_exact_dedup, op10_projection_forest]
+    found = [
+        op1_token_count, op2_url_filter, op3_best_fit_packing, op4_token_store, op5_source_mix,
+        op6_simhash_dedup, op7_line_dedup, op8_exact_dedup, op9_quality, op10_projection_forest,
+    ]
     return {f.__name__: f for f in found}
 
 
