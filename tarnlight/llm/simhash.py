@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import texts, written
 from .components import components
@@ -47,15 +48,16 @@ def fingerprint(text: bytes, width: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row of docs."""
+def fingerprints(docs: DataFrame, width: int = 3, row: Column | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and row (a long of the caller's, or null) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64)), batch.column("row")], names=["doc_id", "fp", "row"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    row = F.lit(None).cast("long") if row is None else row
+    return texts(docs, row.alias("row")).mapInArrow(run, "doc_id long, fp long, row long")
 
 
 def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -198,12 +200,31 @@ def trie_join(values: DataFrame, budget: int = 2, crowd: int = CROWD) -> DataFra
     return links
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable) of each row of docs."""
-    found = written(fingerprints(docs, width), "fingerprints")
+def _groups(docs: DataFrame, width: int, budget: int, crowd: int, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, fingerprint and `row`; each fingerprint's component and its least doc_id."""
+    found = written(fingerprints(docs, width, row), "fingerprints")
     distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(trie_join(distinct.select("fp"), budget, crowd))
     whole = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = whole.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = whole.join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found, whole.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, crowd: int = CROWD) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable) of each row of docs."""
+    found, named = _groups(docs, width, budget, crowd)
+    return found.join(named.drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, budget: int = 3, crowd: int = CROWD) -> DataFrame:
+    """docs with one row of each component: that with the least doc_id, and of several such the first by a hash of all columns.
+
+    The rows that stay are chosen on doc_id and that hash; texts are shuffled for the last join alone.
+    """
+    row = F.xxhash64(*docs.columns)
+    found, named = _groups(docs, width, budget, crowd, row)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    heads = found.join(named, "fp").groupBy("root").agg(F.min(order).alias("head")).select("root", "head._id", "head._row")
+    kept = docs.withColumn("_row0", row).join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row0") == F.col("_row")))
+    once = kept.withColumn("_k", F.row_number().over(W.partitionBy("root").orderBy("_row")))  # rows that repeat in all columns
+    return once.where("_k = 1").select(*docs.columns)
