@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -73,12 +73,21 @@ def popularity(content: Column, authority: Column, primary_domain: Column) -> Co
     return F.least(F.lit(100.0), total)
 
 
-def relevance(title: Column, content: Column, keywords: Sequence[tuple[str, float]] = config.RELEVANCE_KEYWORDS, nfkc: bool = True) -> Column:
-    title, content = text.normalize(title, nfkc), text.normalize(content, nfkc)
-    hits = sum(((F.log1p(text.occurrences(title, term) * 3) + F.log1p(text.occurrences(content, term))) * weight for term, weight in keywords), F.lit(0.0))
+def relevance(title: Column, content: Column, keywords: Sequence[tuple[str, float]] = config.RELEVANCE_KEYWORDS) -> Column:
+    """Weighted occurrences of the keywords in a normalised title and content, on a logarithmic scale up to 100."""
+    table = F.array(*(F.struct(F.lit(term).alias("term"), F.lit(text.whole_word(term)).alias("pattern"), F.lit(float(weight)).alias("weight")) for term, weight in keywords))
+    here = F.filter(table, lambda k: F.contains(title, k["term"]) | F.contains(content, k["term"]))  # few of them
+    rated = lambda k: (F.log1p(F.regexp_count(title, k["pattern"]) * 3) + F.log1p(F.regexp_count(content, k["pattern"]))) * k["weight"]
+    hits = F.aggregate(here, F.lit(0.0), lambda total, k: total + rated(k))
     return round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.log1p(hits) / F.log1p(F.lit(20.0)) * 100)))
 
 
+def with_relevance(df: DataFrame, keywords: Sequence[tuple[str, float]] = config.RELEVANCE_KEYWORDS, nfkc: bool = True) -> DataFrame:
+    """df(title, content, ...) with relevance_score."""
+    found = df.withColumn("_title", text.normalize(F.col("title"), nfkc)).withColumn("_content", text.normalize(F.col("content"), nfkc))
+    return found.withColumn("relevance_score", relevance(F.col("_title"), F.col("_content"), keywords)).drop("_title", "_content")
+
+
 def gate_reason(title: Column, content: Column, quality_score: Column, least_quality: Column, relevance_score: Column) -> Column:
     """Why an article is not stored, or null."""
     return (
@@ -90,12 +99,13 @@ def gate_reason(title: Column, content: Column, quality_score: Column, least_qua
 
 
 #: Date formats beyond ISO that pages use.
-DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "EEE, d MMM yyyy HH:mm:ss z", "yyyy/MM/dd", "M/d/yyyy")
+DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "d MMM yyyy HH:mm:ss z", "yyyy/MM/dd", "M/d/yyyy")
 
 
 def parsed_date(value: Column, formats: Iterable[str] = DATE_FORMATS) -> Column:
     """The UTC day of a date in ISO form or one of the formats, or null."""
-    return F.coalesce(value.try_cast("timestamp"), *(F.try_to_timestamp(value, F.lit(f)) for f in formats)).cast("date")
+    plain = F.regexp_replace(value, "^[A-Za-z]{3,9}, ", "")  # a weekday tells nothing
+    return F.coalesce(value.try_cast("timestamp"), *(F.try_to_timestamp(plain, F.lit(f)) for f in formats)).cast("date")
 
 
 def stated_date(html: Column, patterns: Sequence[str] = config.DATE_PATTERNS, window: int = 20_000) -> Column:

@@ -71,9 +71,7 @@ def query_terms(query: str, stop: Sequence[str] = (), stems: bool = True) -> lis
 
 def snippet(content: Column, terms: Sequence[str], radius: int = config.SNIPPET_RADIUS) -> Column:
     """The surroundings of the earliest place where a term's first four letters occur."""
-    lower, places = F.lower(content), [F.lit(None).cast("int")] * 2
-    places += [F.nullif(F.locate(t[:4], F.lower(content)), F.lit(0)) for t in terms]
-    del lower
+    places = [F.lit(None).cast("int")] * 2 + [F.nullif(F.locate(t[:4], F.lower(content)), F.lit(0)) for t in terms]
     at = F.least(*places) - 1
     start, end = F.greatest(F.lit(0), at - radius), F.least(F.length(content), at + radius)
     inner = trim(F.substring(content, start + 1, end - start))
@@ -87,11 +85,14 @@ def highlight(text: Column, query: str, before: str = "<mark>", after: str = "</
     return F.regexp_replace(text, f"(?i)({'|'.join(words)})", f"{before}$1{after}") if words else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+_nfkc = _nfkc.asNondeterministic()  # so that its result is a column of its own, not inlined where it is used
+
+
 def normalize(text: Column, nfkc: bool = True) -> Column:
     """NFKC, lower case, single blanks. Without nfkc no Python is involved; it changes ASCII text in nothing."""
     text = F.coalesce(text, F.lit(""))
@@ -102,8 +103,12 @@ def content_hash(content: Column, nfkc: bool = True) -> Column:
     return F.sha2(collapse(F.regexp_replace(normalize(content, nfkc), "<[^>]+>", " ")), 256)
 
 
-def occurrences(text: Column, term: str) -> Column:
-    """How often a term stands between ASCII word boundaries."""
+def whole_word(term: str) -> str:
+    """The pattern of a term between ASCII word boundaries."""
     left = "(?<![A-Za-z0-9_])" if re.match(r"\w", term, re.A) else "(?<=[A-Za-z0-9_])"
     right = "(?![A-Za-z0-9_])" if re.search(r"\w$", term, re.A) else "(?=[A-Za-z0-9_])"
-    return F.regexp_count(text, F.lit(left + re.escape(term).replace(r"\ ", " ") + right))
+    return left + re.escape(term).replace(r"\ ", " ") + right
+
+
+def occurrences(text: Column, term: str) -> Column:
+    return F.regexp_count(text, F.lit(whole_word(term)))

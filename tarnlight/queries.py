@@ -1,11 +1,472 @@
-"""Registered queries of the search engine and the equivalent SQL."""
+"""Registered queries of the search engine over the document and page tables, and the equivalent SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import config
+from .functions import display, ranking, signals, text, urls
+from .operators import dedup, facets, frontier, index, robots, tiers
+from .operators.search import SearchEngine
+from .plans import crawl
+from .session import ship
+from .sources import tables
+from .sources.html import pages_to_articles
+
+NOW = "2024-06-01 00:00:00"
+QUERY = "the hash and tion"
+KEYWORDS = (("the", 1.3), ("hash", 2.0), ("and", 1.5), ("of the", 2.2))
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "documents")
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.indexable(tables.documents_as_articles(_docs(spark, sf_dir)))
+
+
+def _index(spark: SparkSession, sf_dir: str, stop=(), stems: bool = False) -> index.Index:
+    found = index.build(_articles(spark, sf_dir), stop, stems)
+    return index.from_postings(found.postings.persist())  # read by four branches
+
+
+def _engine(spark: SparkSession, sf_dir: str, stop=(), stems: bool = False) -> SearchEngine:
+    docs = _docs(spark, sf_dir)
+    return SearchEngine(_index(spark, sf_dir, stop, stems), _articles(spark, sf_dir), tables.documents_as_signals(docs, tables.read(spark, sf_dir, "labels")), stop, stems)
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "pages").select("page_id", "url")
+
+
+def _scores(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns))
+
+
+# --- index -------------------------------------------------------------------------------------------------------------
+
+
+def tokenize_documents(spark, sf_dir):
+    found = _docs(spark, sf_dir).select("doc_id", text.raw_tokens(F.col("text")).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+def postings(spark, sf_dir):
+    found = index.postings(index.tokens(_articles(spark, sf_dir), stems=False))
+    return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
+
+
+def doc_lengths(spark, sf_dir):
+    return index.build(_articles(spark, sf_dir), stems=False).doc_lengths
+
+
+def term_doc_freq(spark, sf_dir):
+    return index.build(_articles(spark, sf_dir), stems=False).terms
+
+
+def corpus_stats(spark, sf_dir):
+    return _scores(_index(spark, sf_dir).stats, "avg_document_length")
+
+
+def index_upsert(spark, sf_dir):
+    """The first half of the articles indexed, then all of them upserted: as built at once."""
+    articles = _articles(spark, sf_dir)
+    return index.upserted(index.build(articles.where("CAST(id AS LONG) % 2 = 0"), stems=False), articles, stems=False).doc_lengths
+
+
+def indexing_report(spark, sf_dir):
+    articles = tables.documents_as_articles(_docs(spark, sf_dir))
+    return index.indexing_report(articles, index.build(index.indexable(articles), stems=False).doc_lengths)
+
+
+def stop_word_lengths(spark, sf_dir):
+    return index.build(_articles(spark, sf_dir), text.stop_words(), stems=False).doc_lengths
+
+
+def idf_table(spark, sf_dir):
+    found = _index(spark, sf_dir)
+    return found.terms.crossJoin(F.broadcast(found.stats)).select("term", "doc_freq", F.round(ranking.idf(F.col("total_documents"), F.col("doc_freq")), 6).alias("idf"))
+
+
+# --- search ------------------------------------------------------------------------------------------------------------
+
+
+def bm25_search(spark, sf_dir):
+    return _scores(_engine(spark, sf_dir).bm25(QUERY), "bm25_raw").orderBy(F.desc("bm25_raw"), "doc_id").limit(10)
+
+
+def bm25_all(spark, sf_dir):
+    return _scores(_engine(spark, sf_dir).bm25(QUERY), "bm25_raw")
+
+
+def _page(spark, sf_dir, limit=10, offset=0, **how):
+    found = _engine(spark, sf_dir).search(QUERY, _now(), limit, offset, **how)
+    flat = found.select("article_id", "title", "published_date", F.col("scores.bm25_raw").alias("bm25_raw"), F.col("scores.bm25_normalized").alias("bm25_normalized"), F.col("scores.freshness_score").alias("freshness_score"), "final_score")
+    return _scores(flat, "bm25_raw", "bm25_normalized", "freshness_score", "final_score")
+
+
+def fused_search(spark, sf_dir):
+    return _page(spark, sf_dir)
+
+
+def search_page2(spark, sf_dir):
+    return _page(spark, sf_dir, 10, 10)
+
+
+def search_min_quality(spark, sf_dir):
+    return _page(spark, sf_dir, min_quality=50.0, min_authority=60.0)
+
+
+def search_date_after(spark, sf_dir):
+    return _page(spark, sf_dir, date_after=F.lit("2023-01-01").cast("date"))
+
+
+def search_unit_scale(spark, sf_dir):
+    return _page(spark, sf_dir, scale="unit")
+
+
+def suggest_terms(spark, sf_dir):
+    return _scores(_engine(spark, sf_dir).suggest("hash"), "score")
+
+
+def stemmed_search(spark, sf_dir):
+    return _engine(spark, sf_dir, text.stop_words(), True).search("hashing was found", _now()).drop("scores")
+
+
+def minmax_normalize(spark, sf_dir):
+    sizes = _docs(spark, sf_dir).select("doc_id", F.length("text").cast("double").alias("size"))
+    span = sizes.agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    return sizes.crossJoin(F.broadcast(span)).select("doc_id", F.round(ranking.min_max(F.col("size"), F.col("low"), F.col("high")), 6).alias("normalized"))
+
+
+def freshness_decay(spark, sf_dir):
+    dated = tables.documents_as_articles(_docs(spark, sf_dir))
+    return dated.select("id", F.round(ranking.freshness_decay(F.col("published_date").cast("timestamp"), F.lit(60.0), _now()), 6).alias("freshness"))
+
+
+def freshness_bucket(spark, sf_dir):
+    dated = tables.documents_as_articles(_docs(spark, sf_dir))
+    return dated.select("id", ranking.freshness_bucket(F.col("published_date").cast("timestamp"), _now()).alias("bucket"))
+
+
+def snippets(spark, sf_dir):
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", text.snippet(F.col("text"), ["hashing", "mail"]).alias("snippet"))
+
+
+def highlight(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(text.highlight(F.col("text"), "hash the of")).alias("marked_md5"))
+
+
+def display_score(spark, sf_dir):
+    labels = tables.read(spark, sf_dir, "labels")
+    return labels.select("doc_id", display.display_score(F.col("quality") * (F.col("doc_id") % 200)).alias("shown"))
+
+
+def related_queries(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(display.related_queries(F.coalesce("text", F.lit(""))), "; ").alias("related"))
+
+
+# --- facets and URLs ---------------------------------------------------------------------------------------------------
+
+
+def domain_facets(spark, sf_dir):
+    return facets.domain_facets(_urls(spark, sf_dir))
+
+
+def enabled_results(spark, sf_dir):
+    found = _urls(spark, sf_dir)
+    return facets.enabled_results(found, ["ththon.example.com", "ththan.example.net", "therth.example.org"])
+
+
+def url_parts(spark, sf_dir):
+    url = F.col("url")
+    return _urls(spark, sf_dir).select("page_id", display.domain(url).alias("domain"), display.short_path(url).alias("short_path"), display.letter(url).alias("letter"))
+
+
+def normalize_queue_url(spark, sf_dir):
+    url = F.col("url")
+    return _urls(spark, sf_dir).select("page_id", urls.queue_url(url).alias("queue_url"), urls.stored_url(url).alias("stored_url"), urls.sorted_url(url).alias("sorted_url"))
+
+
+def discard_url(spark, sf_dir):
+    return _urls(spark, sf_dir).select("page_id", urls.discarded(F.col("url")).alias("discarded"))
+
+
+def admit_url(spark, sf_dir):
+    links = _urls(spark, sf_dir).withColumn("source_host", urls.hostname(F.col("url")))
+    return frontier.admitted(links).select("page_id", "url", "reject_reason")
+
+
+def tier_lookup(spark, sf_dir):
+    hosts = _urls(spark, sf_dir).select("page_id", F.element_at(F.array(*map(F.lit, ("www.python.org", "docs.python.org", "eng.uber.com", "aws.amazon.com", "x.dev.to", "example.org"))), (F.col("page_id") % 6 + 1).cast("int")).alias("host"))
+    return tiers.with_tier(hosts, "host").select("page_id", "host", "profile", "authority", "authority_score", "min_quality")
+
+
+def content_hash_dedup(spark, sf_dir):
+    hashed = _docs(spark, sf_dir).select("doc_id", text.content_hash(F.col("text"), nfkc=False).alias("content_hash"))
+    return dedup.firsts(hashed, "content_hash", "doc_id")
+
+
+def seen_urls(spark, sf_dir):
+    found = _urls(spark, sf_dir).select("url", F.lit(None).cast("string").alias("url_normalized"))
+    return frontier.seen_urls(found, found, found)
+
+
+def frontier_antijoin(spark, sf_dir):
+    found = _urls(spark, sf_dir)
+    return frontier.new_seeds(found.where("page_id % 2 = 0"), found.where("page_id % 3 = 0").select(urls.queue_url(F.col("url")).alias("url")).distinct()).select("url", "domain")
+
+
+def frontier_counts(spark, sf_dir):
+    links = _urls(spark, sf_dir).select("url", F.lit("example.org").alias("source_host"))
+    return frontier.insert_counts(frontier.classified(links, links.where("false").select("url")))
+
+
+def crawl_status(spark, sf_dir):
+    found = _urls(spark, sf_dir)
+    flagged = lambda n: found.select((F.col("page_id") % n == 0).alias("crawled"))
+    return frontier.crawl_status(flagged(2), flagged(3), found)
+
+
+def next_in_queue(spark, sf_dir):
+    queue = _urls(spark, sf_dir).select(F.col("page_id").alias("id"), "url", (F.col("page_id") % 5).cast("int").alias("priority"), (F.col("page_id") % 2 == 0).alias("crawled"))
+    return frontier.next_queued(queue, 20).select("id", "priority")
+
+
+def undated_page(spark, sf_dir):
+    articles = tables.documents_as_articles(_docs(spark, sf_dir)).withColumn("last_crawled_at", F.lit(None).cast("timestamp"))
+    return frontier.undated_page(articles, "2", 50).select("id")
+
+
+def publish_articles(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    articles = tables.documents_as_articles(docs).withColumn("is_indexed", F.col("id").cast("long") % 3 > 0)
+    found = tables.published(articles, tables.documents_as_signals(docs, tables.read(spark, sf_dir, "labels")))
+    return found.select("id", "domain", "quality_score", "authority_score", "freshness_score")
+
+
+def crawl_schedule(spark, sf_dir):
+    return frontier.schedule(_urls(spark, sf_dir), urls.hostname(F.col("url")), F.lit(1.0)).select("page_id", "start_after")
+
+
+# --- signals -----------------------------------------------------------------------------------------------------------
+
+
+def quality_score(spark, sf_dir):
+    found = tables.documents_as_articles(_docs(spark, sf_dir))
+    return found.select("id", signals.quality(F.col("title"), F.col("content")).alias("quality"))
+
+
+def readability_score(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", signals.readability(F.col("text"), nfkc=False).alias("readability"))
+
+
+def popularity_score(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", signals.popularity(F.col("text"), F.lit("CANONICAL"), F.lit("DSA")).alias("popularity"))
+
+
+def relevance_score(spark, sf_dir):
+    found = tables.documents_as_articles(_docs(spark, sf_dir))
+    return signals.with_relevance(found, KEYWORDS, nfkc=False).select("id", F.col("relevance_score").alias("relevance"))
+
+
+def relevance_full(spark, sf_dir):
+    found = tables.documents_as_articles(_docs(spark, sf_dir))
+    ship(spark)
+    return signals.with_relevance(found).select("id", F.col("relevance_score").alias("relevance"))
+
+
+def gate_reasons(spark, sf_dir):
+    found = signals.with_relevance(tables.documents_as_articles(_docs(spark, sf_dir)), KEYWORDS, nfkc=False)
+    title, content = F.col("title"), F.col("content")
+    reason = signals.gate_reason(title, content, signals.quality(title, content), F.lit(15.0), F.col("relevance_score"))
+    return found.groupBy(F.coalesce(reason, F.lit("passed")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def backfill_dates(spark, sf_dir):
+    pages = tables.read(spark, sf_dir, "pages")
+    stamped = F.concat(F.lit('<meta property="article:published_time" content="202'), F.col("page_id") % 5, F.lit('-03-1'), F.col("page_id") % 10, F.lit('T10:00:00Z">'), "html")
+    return pages.select("page_id", F.date_format(signals.stated_date(F.when(F.col("page_id") % 3 > 0, stamped).otherwise(F.col("html"))), "yyyy-MM-dd").alias("published"), urls.undated_source(F.col("url")).alias("skipped"))
+
+
+ROBOTS_TEXT = "User-agent: *\nDisallow: /de/\nAllow: /de/1\n# note\nCrawl-delay: 2\nUser-agent: other\nDisallow: /"
+
+
+def robots_allowed(spark, sf_dir):
+    pages = _urls(spark, sf_dir)
+    texts = pages.select(F.lower(F.regexp_extract("url", "^(https?://[^/?#]*)", 1)).alias("origin")).where("contains(origin, '.com')").distinct().withColumn("text", F.lit(ROBOTS_TEXT))
+    return robots.crawlable(pages, texts).select("page_id", "allowed", "delay")
+
+
+def extract_pages(spark, sf_dir):
+    ship(spark)
+    found = pages_to_articles(tables.read(spark, sf_dir, "pages"))
+    return found.select("page_id", "title", F.length("content").alias("n_chars"), F.size("hrefs").alias("n_links"), "date_raw")
+
+
+def discovered_links(spark, sf_dir):
+    return crawl.discovered(crawl.judged(tables.read(spark, sf_dir, "pages"), _now(), keywords=KEYWORDS))
+
+
+def crawl_counters(spark, sf_dir):
+    pages = tables.read(spark, sf_dir, "pages")
+    none = spark.createDataFrame([], "content_hash string, url_normalized string")
+    return crawl.crawl(pages, none, _now(), keywords=KEYWORDS).counters()
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = (
+        tokenize_documents, postings, doc_lengths, term_doc_freq, corpus_stats, index_upsert, indexing_report, stop_word_lengths, idf_table, bm25_search, bm25_all, fused_search, search_page2,
+        search_min_quality, search_date_after, search_unit_scale, suggest_terms, stemmed_search, minmax_normalize, freshness_decay, freshness_bucket, snippets, highlight, display_score,
+        related_queries, domain_facets, enabled_results, url_parts, normalize_queue_url, discard_url, admit_url, tier_lookup, content_hash_dedup, seen_urls, frontier_antijoin, frontier_counts,
+        crawl_status, next_in_queue, undated_page, publish_articles, crawl_schedule, quality_score, readability_score, popularity_score, relevance_score, relevance_full, gate_reasons,
+        backfill_dates, robots_allowed, extract_pages, discovered_links, crawl_counters,
+    )
+    return {f.__name__: f for f in found}
+
+
+# --- the same in SQL ---------------------------------------------------------------------------------------------------
+
+_TOKENS = r"""regexp_extract_all(lower({0}), '[a-z0-9]+(?:[''\-][a-z0-9]+)*')"""
+_ARTICLES = """
+a0 AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, source AS domain, split_part(coalesce(text, ''), chr(10), 1) AS title, text AS content,
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE DATE '2024-01-01' - CAST(doc_id % 1500 AS INTEGER) END AS published_date FROM documents),
+a AS (SELECT * FROM a0 WHERE content IS NOT NULL AND length(content) > 50)"""
+_INDEX = f"""{_ARTICLES},
+raw AS (SELECT id AS doc_id, 1 AS in_title, unnest({_TOKENS.format("title")}) AS term, generate_subscripts({_TOKENS.format("title")}, 1) AS i FROM a
+  UNION ALL SELECT id, 0, unnest({_TOKENS.format("content")}), generate_subscripts({_TOKENS.format("content")}, 1) FROM a),
+tok AS (SELECT doc_id, in_title, term, row_number() OVER (PARTITION BY doc_id, in_title ORDER BY i) - 1 AS k FROM raw WHERE length(term) BETWEEN 2 AND 50{{}}),
+tl AS (SELECT doc_id, count(*) AS n FROM tok WHERE in_title = 1 GROUP BY doc_id),
+p AS (SELECT term, doc_id, CAST(count(*) AS INTEGER) AS term_frequency, CAST(sum(in_title) AS INTEGER) AS title_tf, CAST(count(*) - sum(in_title) AS INTEGER) AS content_tf,
+  string_agg(CAST(CASE WHEN in_title = 1 THEN k ELSE k + 100 + coalesce(n, 0) END AS VARCHAR), ' ' ORDER BY CASE WHEN in_title = 1 THEN k ELSE k + 100 + coalesce(n, 0) END) AS positions
+  FROM tok LEFT JOIN tl USING (doc_id) GROUP BY term, doc_id),
+t AS (SELECT term, count(*) AS doc_freq FROM p GROUP BY term),
+l AS (SELECT doc_id, CAST(sum(term_frequency) AS INTEGER) AS doc_length FROM p GROUP BY doc_id),
+s AS (SELECT count(*) AS n, avg(doc_length) AS mean FROM l)"""
+_PLAIN = _INDEX.format("")
+_IDF = "ln((s.n - doc_freq + 0.5) / (doc_freq + 0.5) + 1)"
+_BM25 = f"""{_PLAIN},
+b AS (SELECT doc_id, sum({_IDF} * ((3.0 * title_tf + content_tf) * 2.5 / (3.0 * title_tf + content_tf + 1.5 * (0.25 + 0.75 * doc_length / s.mean)))) AS bm25_raw
+  FROM p JOIN t USING (term) JOIN l USING (doc_id) CROSS JOIN s WHERE term IN ('the', 'hash', 'and', 'tion') GROUP BY doc_id),
+sg AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, quality * 60.0 + doc_id % 25 AS q, doc_id % 56 + 40.0 AS au, doc_id % 61 + 40.0 AS fr FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)),
+c AS (SELECT b.doc_id AS doc_id, a.title, a.published_date, bm25_raw, coalesce(q, 0) AS q, coalesce(au, 0) AS au, coalesce(fr, 0) AS fr FROM b JOIN a ON a.id = b.doc_id LEFT JOIN sg ON sg.doc_id = b.doc_id)"""
+_AGE = f"(epoch(TIMESTAMP '{NOW}') - epoch(CAST(published_date AS TIMESTAMP))) / 86400.0"
+
+
+def _fused(where: str = "true", offset: int = 0, unit: float = 1.0) -> str:
+    return f"""WITH {_BM25},
+f AS (SELECT * FROM c WHERE {where}),
+g AS (SELECT *, CASE WHEN (max(bm25_raw) OVER () - min(bm25_raw) OVER ()) > 1e-10 THEN (bm25_raw - min(bm25_raw) OVER ()) / (max(bm25_raw) OVER () - min(bm25_raw) OVER ()) ELSE 0.5 END AS nb,
+  CASE WHEN published_date IS NULL THEN fr / {unit} WHEN {_AGE} < 0 THEN 1.0 ELSE pow(2.0, -({_AGE}) / 365) END AS fresh FROM f),
+h AS (SELECT *, 0.55 * nb + 0.2 * q / {unit} + 0.15 * au / {unit} + 0.1 * fresh AS score FROM g ORDER BY score DESC, doc_id LIMIT 10 OFFSET {offset})
+SELECT doc_id AS article_id, title, published_date, round(bm25_raw, 6) AS bm25_raw, round(nb, 6) AS bm25_normalized, round(fresh, 6) AS freshness_score, round(score, 6) AS final_score FROM h"""
+
+
+def _list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+_PARTS = r"""
+u AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', 1) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path0, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS query FROM pages),
+v AS (SELECT *, CASE WHEN path0 = '' THEN '/' ELSE path0 END AS path, regexp_replace(host, '^www\.', '') AS bare, scheme || '://' || host AS origin FROM u),
+w AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(query, '(^\?|&)(source|ref|utm_source|utm_medium|utm_campaign)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '^\?&', '?'), '[?&]$', '') AS kept FROM v),
+x AS (SELECT *, regexp_replace(origin || path || kept, '/$', '') AS queue_url FROM w)"""
+_DISCARD = "regexp_matches({}, '" + "|".join(f"(?:{p})" for p in config.DISCARD_PATTERNS).replace("'", "''") + "')"
+_SHOWN = "quality * (doc_id % 200)"
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\s\x{00a0}\x{feff}\x0b]+'))"
+_CODE = r"(len(regexp_extract_all({0}, '(?is)<code[^>]*>.*?</code>')) + len(regexp_extract_all({0}, '(?s)```.*?```')) + len(regexp_extract_all({0}, '(?is)<pre[^>]*>.*?</pre>')))"
+_TEST = {"x": f"regexp_matches({{0}}, '(?i){config.COMPLEXITY}')", "a": f"regexp_matches({{0}}, '(?i){config.ALGORITHMIC}')", "e": f"regexp_matches({{0}}, '(?i){config.EXPLAINS}')"}
+_TEST["s"] = "regexp_matches({0}, '(?m)" + "|".join(f"(?:{p})" for p in config.STRUCTURED) + "')"
+_NORMAL = r"trim(regexp_replace(lower(coalesce({0}, '')), '\s+', ' ', 'g'))"
+
+
+def _quality(title: str, content: str) -> str:
+    code = _CODE.format(content)
+    yes = lambda k: _TEST[k].replace("{0}", content)
+    return f"""CAST((CASE WHEN {code} >= 1 THEN 20 ELSE 0 END) + (CASE WHEN {code} >= 2 THEN 10 ELSE 0 END) + (CASE WHEN {code} >= 3 THEN 5 ELSE 0 END) + (CASE WHEN length(trim({title})) >= 3 THEN 8 ELSE 0 END)
+  + (CASE WHEN {yes("x")} THEN 15 ELSE 0 END) + (CASE WHEN {yes("a")} THEN 12 ELSE 0 END) + (CASE WHEN {yes("e")} THEN 8 ELSE 0 END) + (CASE WHEN {yes("s")} THEN 7 ELSE 0 END) AS DOUBLE)"""
+
+
+def _relevance() -> str:
+    count = lambda field, term: rf"len(regexp_extract_all(' ' || regexp_replace({_NORMAL.format(field)}, '[^a-z0-9_]', '  ', 'g') || ' ', '[^a-z0-9_]{term.replace(' ', '  ')}[^a-z0-9_]'))"
+    total = " + ".join(f"{w} * (ln(1 + 3 * {count('title', k)}) + ln(1 + {count('content', k)}))" for k, w in KEYWORDS)
+    return f"floor(greatest(0, least(100, ln(1 + {total}) / ln(21) * 100)) * 100 + 0.5) / 100"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    stops = f" AND term NOT IN ({_list(text.stop_words())})"
+    related = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + f" THEN '{'; '.join(r)}'" for words, r in display.RELATED[:-1]) + f" ELSE '{'; '.join(display.RELATED[-1][1])}' END"
+    path_is = lambda those: "regexp_matches({}, '" + "|".join(f"(?:{p})" for p in those) + "')"
+    lengths = f"WITH {_PLAIN} SELECT doc_id, doc_length FROM l"
+    bucket = "CASE WHEN published_date IS NULL THEN 60 " + " ".join(f"WHEN {_AGE} < {d} THEN {v}" for d, v in ((7, 100), (30, 90), (90, 80), (365, 70), (1000, 60))) + " ELSE 40 END"
+    near = "least(nullif(strpos(lower(text), 'hash'), 0), nullif(strpos(lower(text), 'mail'), 0)) - 1"
+    hosts = ("www.python.org", "docs.python.org", "eng.uber.com", "aws.amazon.com", "x.dev.to", "example.org")
+    tier_rows = (("LANGUAGE_CANONICAL", "CANONICAL", 88.0, 25.0), ("LANGUAGE_CANONICAL", "CANONICAL", 88.0, 25.0), ("SYSTEM_DESIGN_INSTITUTIONAL", "INSTITUTIONAL", 93.0, 20.0), ("CLOUD_OFFICIAL", "INSTITUTIONAL", 85.0, 20.0), ("COMMUNITY_TECHNICAL", "COMMUNITY", 65.0, 50.0), ("UNKNOWN", "UNKNOWN", 40.0, 65.0))
+    values = ", ".join(f"({i}, '{h}', '{r[0]}', '{r[1]}', CAST({r[2]} AS DOUBLE), CAST({r[3]} AS DOUBLE))" for i, (h, r) in enumerate(zip(hosts, tier_rows)))
+    hashed = r"sha256(trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')))"
+    status = lambda name, cond: f"SELECT '{name}' AS source, count(*) AS total, count(*) FILTER (WHERE {cond}) AS crawled, count(*) - count(*) FILTER (WHERE {cond}) AS remaining FROM pages"
+    reason = f"""CASE WHEN {_DISCARD.format("queue_url")} THEN 'discarded' WHEN {path_is(config.GENERIC_PATHS).format("qpath")} THEN 'generic path' WHEN qpath = '/' THEN 'root path' WHEN NOT {path_is(config.TOPIC_SIGNALS).format("qpath || kept")} THEN 'no topic' END"""
+    queued = f"WITH {_PARTS}, y AS (SELECT *, CASE WHEN kept = '' THEN CASE WHEN regexp_replace(path, '/$', '') = '' THEN '/' ELSE regexp_replace(path, '/$', '') END ELSE path END AS qpath FROM x)"
+    readability = r"""
+WITH n AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS w FROM documents),
+m AS (SELECT doc_id, w, greatest(1, len(regexp_extract_all(w, '[^.!?]*[^.!?\s][^.!?]*'))) AS se, greatest(1, len(regexp_extract_all(w, '[^\s]+'))) AS wo, len(regexp_extract_all(w, '[aeiouy]+')) AS sy FROM n)
+SELECT doc_id, CAST(CASE WHEN length(w) < 100 THEN 0 ELSE floor(greatest(0.0, least(100.0, 100 - (0.39 * (wo / se) + 11.8 * (sy / wo) - 15.59) * 5)) * 100 + 0.5) / 100 END AS DOUBLE) AS readability FROM m"""
+    gate = f"""CASE WHEN length(trim(title)) < 3 THEN 'title' WHEN length(trim(coalesce(content, ''))) < 50 THEN 'content' WHEN {_quality("title", "coalesce(content, '')")} < 15 THEN 'quality' WHEN {_relevance()} < 5 THEN 'relevance' ELSE 'passed' END"""
+    return {
+        "tokenize_documents": f"SELECT doc_id, coalesce(n, 0) AS n_tokens, coalesce(d, 0) AS n_distinct FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, count(DISTINCT w) AS d FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 50 GROUP BY doc_id) USING (doc_id)",
+        "postings": f"WITH {_PLAIN} SELECT * FROM p",
+        "doc_lengths": lengths,
+        "term_doc_freq": f"WITH {_PLAIN} SELECT * FROM t",
+        "corpus_stats": f"WITH {_PLAIN} SELECT n AS total_documents, round(mean, 6) AS avg_document_length, (SELECT count(*) FROM t) AS total_terms FROM s",
+        "index_upsert": lengths,
+        "indexing_report": f"WITH {_PLAIN} SELECT (SELECT count(*) FROM a0) AS articles, (SELECT count(*) FROM l) AS articles_indexed, (SELECT count(*) FROM a0) - (SELECT count(*) FROM l) AS articles_skipped",
+        "stop_word_lengths": f"WITH {_INDEX.format(stops)} SELECT doc_id, doc_length FROM l",
+        "idf_table": f"WITH {_PLAIN} SELECT term, doc_freq, round({_IDF}, 6) AS idf FROM t CROSS JOIN s",
+        "bm25_search": f"WITH {_BM25} SELECT doc_id, round(bm25_raw, 6) AS bm25_raw FROM b ORDER BY round(bm25_raw, 6) DESC, doc_id LIMIT 10",
+        "bm25_all": f"WITH {_BM25} SELECT doc_id, round(bm25_raw, 6) AS bm25_raw FROM b",
+        "fused_search": _fused(),
+        "search_page2": _fused(offset=10),
+        "search_min_quality": _fused("q >= 50 AND au >= 60"),
+        "search_date_after": _fused("published_date IS NULL OR published_date >= DATE '2023-01-01'"),
+        "search_unit_scale": _fused(unit=100.0),
+        "suggest_terms": f"WITH {_PLAIN} SELECT term, round(n * idf, 6) AS score FROM (SELECT term, count(*) AS n, max({_IDF}) AS idf FROM p JOIN t USING (term) CROSS JOIN s WHERE doc_id IN (SELECT doc_id FROM p WHERE term = 'hash') AND term <> 'hash' GROUP BY term) WHERE idf >= 0.5 ORDER BY n * idf DESC, term LIMIT 6",
+        "minmax_normalize": "SELECT doc_id, round(CASE WHEN max(length(text)) OVER () > min(length(text)) OVER () THEN (length(text) - min(length(text)) OVER ()) / CAST(max(length(text)) OVER () - min(length(text)) OVER () AS DOUBLE) ELSE 0.5 END, 6) AS normalized FROM documents",
+        "freshness_decay": f"WITH {_ARTICLES} SELECT id, round(CASE WHEN published_date IS NULL THEN 60.0 WHEN {_AGE} < 0 THEN 1.0 ELSE pow(2.0, -({_AGE}) / 365) END, 6) AS freshness FROM a0",
+        "freshness_bucket": f"WITH {_ARTICLES} SELECT id, CAST({bucket} AS DOUBLE) AS bucket FROM a0",
+        "snippets": f"SELECT doc_id, CASE WHEN k IS NULL THEN trim(text[1:240], chr(32) || chr(10)) || '...' ELSE (CASE WHEN k > 120 THEN '...' ELSE '' END) || trim(text[greatest(0, k - 120) + 1 : least(length(text), k + 120)], chr(32) || chr(10)) || (CASE WHEN k + 120 < length(text) THEN '...' ELSE '' END) END AS snippet FROM (SELECT doc_id, text, {near} AS k FROM documents WHERE text IS NOT NULL)",
+        "highlight": "SELECT doc_id, md5(regexp_replace(text, '(?i)(hash|the)', '<mark>\\1</mark>', 'g')) AS marked_md5 FROM documents",
+        "display_score": f"SELECT doc_id, CAST(CASE WHEN {_SHOWN} IS NULL THEN 50 WHEN {_SHOWN} <= 1 THEN floor({_SHOWN} * 100 + 0.5) ELSE least(99, floor(20 * ln({_SHOWN} + 1) + 0.5)) END AS INTEGER) AS shown FROM labels",
+        "related_queries": f"SELECT doc_id, {related} AS related FROM documents",
+        "domain_facets": f"WITH {_PARTS} SELECT bare AS domain, count(*) AS n_results FROM x GROUP BY bare ORDER BY n_results DESC, domain LIMIT 8",
+        "enabled_results": f"WITH {_PARTS} SELECT page_id, url FROM x WHERE bare IN ('ththon.example.com', 'ththan.example.net', 'therth.example.org')",
+        "url_parts": rf"WITH {_PARTS} SELECT page_id, bare AS domain, regexp_extract(trim(path, '/'), '([^/]*/)?[^/]*$', 0) AS short_path, upper(bare[1:1]) AS letter FROM x",
+        "normalize_queue_url": f"WITH {_PARTS} SELECT page_id, queue_url, origin || path || query AS stored_url, regexp_replace(lower(origin || path || query), '/$', '') AS sorted_url FROM x",
+        "discard_url": f"SELECT page_id, {_DISCARD.format('url')} AS discarded FROM pages",
+        "admit_url": f"{queued} SELECT page_id, queue_url AS url, {reason} AS reject_reason FROM y",
+        "tier_lookup": f"SELECT page_id, host, profile, authority, authority_score, min_quality FROM pages JOIN (VALUES {values}) h(i, host, profile, authority, authority_score, min_quality) ON page_id % 6 = i",
+        "content_hash_dedup": f"SELECT min(doc_id) AS doc_id, {hashed} AS content_hash FROM documents GROUP BY {hashed}",
+        "seen_urls": f"WITH {_PARTS} SELECT DISTINCT queue_url AS url FROM x",
+        "frontier_antijoin": f"WITH {_PARTS} SELECT DISTINCT queue_url AS url, bare AS domain FROM x WHERE page_id % 2 = 0 AND queue_url NOT IN (SELECT queue_url FROM x WHERE page_id % 3 = 0)",
+        "frontier_counts": f"WITH {_PARTS} SELECT CASE WHEN {_DISCARD.format('queue_url')} THEN 'discarded' ELSE 'discarded' END AS status, count(*) AS n FROM x GROUP BY 1",
+        "crawl_status": " UNION ALL ".join((status("seeds", "page_id % 2 = 0"), status("queue", "page_id % 3 = 0"), status("articles", "true"))),
+        "next_in_queue": "SELECT page_id AS id, CAST(page_id % 5 AS INTEGER) AS priority FROM pages WHERE page_id % 2 <> 0 ORDER BY page_id % 5 DESC, page_id LIMIT 20",
+        "undated_page": f"WITH {_ARTICLES} SELECT id FROM a0 WHERE published_date IS NULL AND id > '2' ORDER BY id LIMIT 50",
+        "publish_articles": "SELECT CAST(d.doc_id AS VARCHAR) AS id, source AS domain, CAST(coalesce(quality * 60.0 + d.doc_id % 25, 0) AS DOUBLE) AS quality_score, CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE d.doc_id % 56 + 40.0 END AS DOUBLE) AS authority_score, CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE d.doc_id % 61 + 40.0 END AS DOUBLE) AS freshness_score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 3 > 0",
+        "crawl_schedule": f"WITH {_PARTS} SELECT page_id, CAST(row_number() OVER (PARTITION BY host ORDER BY url) - 1 AS DOUBLE) AS start_after FROM x",
+        "quality_score": f"WITH {_ARTICLES} SELECT id, {_quality('title', chr(99) + 'oalesce(content, ' + chr(39) * 2 + ')')} AS quality FROM a0",
+        "readability_score": readability.strip(),
+        "popularity_score": f"SELECT doc_id, CAST(40 + 12 + (CASE WHEN {_WORDS} > 2000 THEN 20 WHEN {_WORDS} > 1000 THEN 12 WHEN {_WORDS} > 500 THEN 6 ELSE 0 END) + (CASE WHEN {_CODE.format('text')} >= 3 THEN 15 WHEN {_CODE.format('text')} >= 1 THEN 8 ELSE 0 END) + (CASE WHEN {_TEST['x'].replace('{0}', 'text')} THEN 10 ELSE 0 END) + (CASE WHEN {_TEST['s'].replace('{0}', 'text')} THEN 5 ELSE 0 END) AS DOUBLE) AS popularity FROM documents",
+        "relevance_score": f"WITH {_ARTICLES} SELECT id, CAST({_relevance()} AS DOUBLE) AS relevance FROM a0",
+        "gate_reasons": f"WITH {_ARTICLES} SELECT {gate} AS reason, count(*) AS n FROM a0 GROUP BY 1",
+        "backfill_dates": "SELECT page_id, CASE WHEN page_id % 3 > 0 THEN '202' || (page_id % 5) || '-03-1' || (page_id % 10) END AS published, false AS skipped FROM pages",
+        "robots_allowed": f"WITH {_PARTS} SELECT page_id, NOT (contains(host, '.com') AND starts_with(path, '/de/') AND NOT starts_with(path, '/de/1')) AS allowed, CAST(CASE WHEN contains(host, '.com') THEN 2 ELSE 1 END AS DOUBLE) AS delay FROM x",
+    }
