@@ -89,7 +89,7 @@ def upserted(index: Index, articles: DataFrame, stop: Sequence[str] = (), stems:
     """The index with these articles' postings in place of their old ones; twice is as once."""
     new = postings(tokens(articles, stop, stems))
     kept = index.postings.join(articles.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    return from_postings(kept.unionByName(new))
+    return from_postings(kept.select(*new.columns).unionByName(new))
 
 
 def indexing_report(articles: DataFrame, doc_lengths: DataFrame) -> DataFrame:
