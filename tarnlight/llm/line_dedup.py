@@ -4,7 +4,8 @@ A line's tokens are its shingles of five words (of a shorter line, the line), lo
 class, and of a class only the first line, by (doc_id, row, line), can stay. The classes' first lines are joined on Jaccard
 similarity of 0.8 or more: tokens are put in one order, rarest first by counts over all documents; lines that similar share
 a token of their prefixes, the first n - ceil(0.8 n) + 1; pairs whose lengths or whose places of the shared token leave no
-room for the overlap are dropped; the rest are verified on whole token sets. A class that has an earlier match goes too.
+room for the overlap are dropped; the rest are verified on whole token sets. A class that has an earlier match goes too. Of a token that many
+classes share no pairs are made: each class brings its set to the token's task, which finds those with an earlier match.
 
 Rarity is counted in a table of hashed counters of fixed size: any order that is the same for all lines gives the same
 result, so sharing a counter costs time, never a match. Words and tokens are compared by 64-bit hashes, lines by 128 bits.
@@ -30,7 +31,6 @@ from pyspark.sql.window import Window as W
 
 from .common import texts, written
 from .mph import mix
-from .vocab import Pieces
 
 #: Counters of the rarity table (a megabyte), and the pieces in which tasks' counts are summed.
 COUNTERS, CHUNKS = 1 << 18, 64
@@ -39,50 +39,93 @@ FILTER_BITS = 1 << 27
 LINES = "part int, counts binary, uid long, doc_id long, line int, h1 long, h2 long"
 
 
-@functools.cache
-def _words() -> Pieces:
-    from xxhash import xxh64_intdigest
+#: Bytes of text that are hashed at once, an odd base of the words' polynomials, and white space.
+CHUNK, BASE = 1 << 20, 0x9E37_79B9_7F4A_7C15
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
 
-    return Pieces(lambda w: xxh64_intdigest(w.encode()))
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        powers = np.full(n, base, np.uint64)
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return out[0], out[1]
+
+
+def _hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start in these bytes, and their hashes: polynomials by differences of running sums, mixed with the length."""
+    space = _SPACE[raw]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    start, stop = edge[::2], edge[1::2]
+    up, down = _powers(max(CHUNK, 1 << int(len(raw)).bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+        return start, mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64), 12)
+
+
+#: Odd multipliers of a shingle's words, of words' places, and of a line's second hash.
+_WEIGHTS = mix(np.arange(64, dtype=np.uint64), 5) | np.uint64(1)
+_PLACE, _SECOND = np.uint64(0xD6E8_FEB8_6659_FD93), np.uint64(0xA076_1D64_78BD_642F)
+
+
+def _stretch(raw: list[bytes], sizes: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """tokens, their line; text, number, h1, h2 of each non-blank line of some whole texts."""
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    at, hashed = _hashed_words(data)
+    ends = np.flatnonzero(data == 10)
+    text_of_line = np.searchsorted(np.cumsum(sizes) - 1, ends)
+    of_word = np.searchsorted(ends, at)
+    if not len(hashed):
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, none, none, none
+    start = np.concatenate([[0], np.flatnonzero(np.diff(of_word)) + 1])
+    length = np.diff(start, append=len(hashed))
+    lines = of_word[start]
+    text = text_of_line[lines]
+    number = lines - np.searchsorted(text_of_line, text)
+    with np.errstate(over="ignore"):
+        # words of a shingle have a multiplier each; a shorter line is a shingle of its words and their number
+        count = np.maximum(1, length - width + 1)
+        line = np.repeat(np.arange(len(length)), count)
+        first = np.arange(len(line)) + np.repeat(start + count - np.cumsum(count), count)
+        padded = np.concatenate([hashed, np.zeros(width, np.uint64)])
+        sums = padded[: len(hashed)] * _WEIGHTS[0]
+        for k in range(1, width):
+            sums += padded[k : k + len(hashed)] * _WEIGHTS[k]
+        tokens = sums[first]
+        for i in np.flatnonzero(length < width):  # its own words only
+            words = hashed[start[i] : start[i] + length[i]]
+            tokens[np.searchsorted(line, i)] = (words * _WEIGHTS[: length[i]]).sum() + _WEIGHTS[63 - length[i]]
+        tokens = mix(tokens, 99)
+        place = (np.arange(len(hashed)) - np.repeat(start, length)).astype(np.uint64)
+        in_order = mix(hashed + place * _PLACE, 8)
+        h1 = mix(np.add.reduceat(in_order, start), 9).view(np.int64)
+        h2 = mix(np.add.reduceat((in_order ^ (in_order >> np.uint64(29))) * _SECOND, start), 11).view(np.int64)
+    return tokens, line, text, number, h1, h2
 
 
 class Lines:
     """Tokens of the non-blank lines of some texts, in whole arrays: tokens, their line; rows and numbers of the lines; class hashes."""
 
     def __init__(self, found: list[str], width: int):
-        lookup, ids, ends, rows, numbers = _words().__getitem__, [], [], [], []
-        n = 0
-        for row, text in enumerate(found):
-            for number, line in enumerate(text.lower().split("\n")):
-                if words := line.split():
-                    ids += map(lookup, words)
-                    n += len(words)
-                    ends.append(n)
-                    rows.append(row)
-                    numbers.append(number)
-        self.rows, self.numbers = np.array(rows, np.int64), np.array(numbers, np.int32)
-        self.tokens, self.line = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.h1 = self.h2 = np.zeros(0, np.int64)
-        if not ends:
-            return
-        hashed, stop = np.array(ids, np.uint64), np.array(ends)
-        start = np.concatenate([[0], stop[:-1]])
-        length = stop - start
-        with np.errstate(over="ignore"):
-            # word k of a shingle is mixed with seed k; a shorter line is a shingle of its words and its length
-            count = np.maximum(1, length - width + 1)
-            first = np.repeat(np.cumsum(count) - count, count)
-            self.line = np.repeat(np.arange(len(stop)), count)
-            at = np.arange(len(first)) - first + start[self.line]
-            tokens, short = np.zeros(len(at), np.uint64), np.minimum(length, width)[self.line]
-            padded = np.concatenate([hashed, np.zeros(width, np.uint64)])
-            for k in range(width):
-                tokens += np.where(k < short, mix(padded[at + k], k), np.uint64(0))
-            self.tokens = mix(tokens + short.astype(np.uint64), 99)
-            place = np.arange(len(hashed)) - np.repeat(start, length)
-            in_order = mix(hashed ^ mix(place.astype(np.uint64), 7), 8)
-            self.h1 = mix(np.add.reduceat(in_order, start), 9).view(np.int64)
-            self.h2 = mix(np.add.reduceat(mix(in_order, 10), start), 11).view(np.int64)
+        raw = [t.lower().encode() for t in found]
+        sizes = np.array([len(t) + 1 for t in raw], np.int64)
+        parts, first, n = [], 0, 0
+        while first < len(raw):  # stretches of whole texts of about CHUNK bytes, which stay in the processor's cache
+            last, size = first, 0
+            while last < len(raw) and (last == first or size + sizes[last] <= CHUNK):
+                size += sizes[last]
+                last += 1
+            tokens, line, text, number, h1, h2 = _stretch(raw[first:last], sizes[first:last], width)
+            parts.append((tokens, line + n, text + first, number, h1, h2))
+            n, first = n + len(text), last
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6
+        self.tokens, self.line, self.rows, self.numbers, self.h1, self.h2 = columns
+        self.tokens, self.numbers = self.tokens.view(np.uint64), self.numbers.astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.rows)
@@ -119,7 +162,15 @@ def _summed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 def _ordered(lines: Lines, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens of each line, rarest first: tokens, their line, their place in it, the line's number of them."""
     rare = rarity[(lines.tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    order = np.lexsort((lines.tokens, rare, lines.line))
+    if len(lines) < 1 << 23:
+        # one key of line, rarity and most of the token sorts faster than three; where two tokens share it, all three decide
+        key = (lines.line.astype(np.uint64) << np.uint64(41)) | (rare.astype(np.uint64) << np.uint64(35)) | (lines.tokens >> np.uint64(29))
+        order = np.argsort(key)
+        sorted_key, tokens = key[order], lines.tokens[order]
+        if ((sorted_key[1:] == sorted_key[:-1]) & (tokens[1:] != tokens[:-1])).any():
+            order = np.lexsort((lines.tokens, rare, lines.line))
+    else:
+        order = np.lexsort((lines.tokens, rare, lines.line))
     tokens, line = lines.tokens[order], lines.line[order]
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
@@ -140,6 +191,44 @@ def _unseen(lines: Lines, seen: set[int]) -> np.ndarray:
     return fresh
 
 
+POSTING = "token long, h1 long, n int, pos int"
+
+
+def _shared(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The postings, once each, of tokens that several classes hold. What waits for company has a token of its own each, so a hot token's postings never pile up."""
+    met: set[int] = set()
+    held: list[np.ndarray] = []
+    size = 0
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        nonlocal held, size
+        if not held:
+            return
+        rows = np.concatenate(held, axis=1)
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+        rows = rows[:, new]
+        same = rows[0, 1:] == rows[0, :-1]
+        company = np.zeros(rows.shape[1], bool)
+        company[1:] |= same
+        company[:-1] |= same
+        if met:
+            company |= np.isin(rows[0], np.fromiter(met, np.int64, len(met)))
+        out, rest = rows[:, company], rows[:, ~company]
+        met.update(out[0].tolist())
+        held, size = [rest], 0
+        if out.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3].astype(np.int32))], names=["token", "h1", "n", "pos"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)]))
+        size += batch.num_rows
+        if size > most:
+            yield from settle()
+    yield from settle()
+
+
 def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> DataFrame:
     """uid, doc_id, line, kept of each line, and a row with line null and _text, a hash of its text, of each document. uid tells rows apart that share a doc_id."""
     spark = docs.sparkSession
@@ -148,7 +237,7 @@ def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> Da
     found = written(source.withColumn("hash", F.xxhash64("text")).mapInArrow(lambda b: _first_pass(b, width), LINES), "lines")
     parts = found.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInPandas(_summed, "part int, counts binary").collect()  # COUNTERS numbers
     rarity = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(COUNTERS, np.int64)
-    rarity = spark.sparkContext.broadcast(np.minimum(rarity, 2**31 - 1).astype(np.int32))
+    rarity = spark.sparkContext.broadcast(np.log2(rarity + 1.0).clip(0, 63).astype(np.uint8))  # in powers of two
     lines = found.where("line IS NOT NULL").select("uid", "doc_id", "line", "h1", "h2")
     place = F.struct(F.col("doc_id"), F.col("uid"), F.col("line"))
     classes = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first")), "classes")
@@ -164,10 +253,8 @@ def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> Da
             pick = _unseen(lines, seen)[line] & (pos < n - -(-p * n // q) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[pick].view(np.int64)), pa.array(lines.h1[line[pick]]), pa.array(n[pick].astype(np.int32)), pa.array(pos[pick].astype(np.int32))], names=["token", "h1", "n", "pos"])
 
-    n_tokens = F.count(F.lit(1)).over(W.partitionBy("token"))
-    postings = source.mapInArrow(prefixes, "token long, h1 long, n int, pos int").repartition("token")
-    shared = postings.withColumn("_n", n_tokens).where("_n > 1").drop("_n").dropDuplicates(["token", "h1"])
-    shared = written(shared, "postings")
+    postings = source.mapInArrow(prefixes, POSTING).repartition("token").mapInArrow(_shared, POSTING)
+    shared = written(postings, "postings")
     left, right = shared.alias("x"), shared.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(p) / F.lit(p + q) - F.lit(1e-9))
     room = F.lit(1) + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - F.lit(1)
@@ -175,7 +262,7 @@ def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> Da
     pairs = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.h1") < F.col("y.h1")) & close & (room >= need))
     pairs = written(pairs.select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct(), "pairs")
 
-    # Whole token sets of the lines in pairs: a filter of bounded size picks them in the last pass over the texts.
+    # Whole token sets of the lines to verify: a filter of bounded size picks them in the last pass over the texts.
     chosen = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     bits = min(FILTER_BITS, 1 << max(10, (16 * chosen.count()).bit_length()))
     slot = F.pmod(F.col("h1"), F.lit(bits)).cast("int")
