@@ -229,6 +229,42 @@ def _shared(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterato
     yield from settle()
 
 
+#: Tokens that more classes hold are compared in tasks, by blocks of classes; others by a join.
+HOT, BLOCK = 16, 4000
+
+
+def _later(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
+    """Of the classes that share a token, in the order of units: (h1, h2) of those that match an earlier one. No pairs leave the task."""
+    unit, group = None, []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        group.sort(key=lambda r: r[0])
+        found, helpful = [], []  # what matched before is tried first: variants of one line have that in common
+        for j, (_, n, pos, tokens, h1, h2) in enumerate(group):
+            for i in [*helpful, *range(j)]:
+                _, m, at, others, *_ = group[i]
+                if n * p > m * q or m * p > n * q:
+                    continue
+                need = -(-(n + m) * p // (p + q))
+                if min(n - pos, m - at) >= need and len(tokens & others) >= need:
+                    found.append((h1, h2))
+                    helpful = [i, *(k for k in helpful[:8] if k != i)]
+                    break
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["h1", "h2"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("token", "unit", "doc_id", "uid", "line", "n", "pos", "tokens", "h1", "h2")]
+        for token, k, doc_id, uid, line, n, pos, tokens, h1, h2 in zip(*columns):
+            if (token, k) != unit and group:
+                yield from settle()
+                group.clear()
+            unit = (token, k)
+            group.append(((doc_id is not None, doc_id or 0, uid, line), n, pos, set(tokens), h1, h2))
+    if group:
+        yield from settle()
+
+
 def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> DataFrame:
     """uid, doc_id, line, kept of each line, and a row with line null and _text, a hash of its text, of each document. uid tells rows apart that share a doc_id."""
     spark = docs.sparkSession
@@ -255,7 +291,9 @@ def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> Da
 
     postings = source.mapInArrow(prefixes, POSTING).repartition("token").mapInArrow(_shared, POSTING)
     shared = written(postings, "postings")
-    left, right = shared.alias("x"), shared.alias("y")
+    held = shared.join(shared.groupBy("token").agg(F.count(F.lit(1)).alias("_n")), "token")
+    cold, hot = held.where(F.col("_n") <= HOT), held.where(F.col("_n") > HOT)
+    left, right = cold.alias("x"), cold.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(p) / F.lit(p + q) - F.lit(1e-9))
     room = F.lit(1) + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - F.lit(1)
     close = (F.col("x.n") * p <= F.col("y.n") * q) & (F.col("y.n") * p <= F.col("x.n") * q)
@@ -263,7 +301,7 @@ def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> Da
     pairs = written(pairs.select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct(), "pairs")
 
     # Whole token sets of the lines to verify: a filter of bounded size picks them in the last pass over the texts.
-    chosen = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    chosen = pairs.select(F.explode(F.array("a", "b")).alias("h1")).union(hot.select("h1")).distinct()
     bits = min(FILTER_BITS, 1 << max(10, (16 * chosen.count()).bit_length()))
     slot = F.pmod(F.col("h1"), F.lit(bits)).cast("int")
     words = chosen.select(F.shiftright(slot, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31))).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
@@ -295,7 +333,13 @@ def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> Da
     both = F.size(F.array_intersect("s.tokens", "t.tokens"))
     alike = both * q >= (F.size("s.tokens") + F.size("t.tokens") - both) * p
     later = F.when(F.col("s.first") < F.col("t.first"), F.struct("t.h1", "t.h2")).otherwise(F.struct("s.h1", "s.h2"))
-    matched = two.where(alike).select(later.alias("m")).select("m.h1", "m.h2").distinct().withColumn("matched", F.lit(True))
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("h1"), blocks).cast("int")
+    units = hot.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    units = units.select("token", "h1", "n", "pos", (F.least("_own", "_other") * blocks + F.greatest("_own", "_other")).alias("unit"))
+    crowd = units.join(sets, "h1").select("token", "unit", "first.doc_id", "first.uid", "first.line", "n", "pos", "tokens", "h1", "h2")
+    crowd = crowd.repartition("token", "unit").sortWithinPartitions("token", "unit").mapInArrow(lambda b: _later(b, p, q), "h1 long, h2 long")
+    matched = two.where(alike).select(later.alias("m")).select("m.h1", "m.h2").unionByName(crowd).distinct().withColumn("matched", F.lit(True))
     decided = classes.join(matched, ["h1", "h2"], "left").select("h1", "h2", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
     kept = lines.join(decided, ["h1", "h2"]).select("uid", "doc_id", "line", (~F.col("matched") & (F.col("first.uid") == F.col("uid")) & (F.col("first.line") == F.col("line"))).alias("kept"), F.lit(None).cast("long").alias("_text"))
     alone = found.where("part IS NULL AND line IS NULL").select("uid", "doc_id", F.lit(None).cast("int").alias("line"), F.lit(True).alias("kept"), F.col("h1").alias("_text"))
