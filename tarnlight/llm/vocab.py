@@ -11,7 +11,7 @@ import functools
 from collections.abc import Callable
 
 #: Pieces a worker remembers before it starts anew: bounds memory, never the result.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 
 
 def resolve(path: str) -> str:
