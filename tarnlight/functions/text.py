@@ -34,9 +34,9 @@ def n_words(text: Column) -> Column:
 
 
 @functools.cache
-def stop_words() -> tuple[str, ...]:
-    """English stop words (Spark's list) and those of the domain, without the protected terms."""
-    english = StopWordsRemover.loadDefaultStopWords("english")
+def stop_words(english: tuple[str, ...] | None = None) -> tuple[str, ...]:
+    """English stop words (by default Spark's list) and those of the domain, without the protected terms."""
+    english = StopWordsRemover.loadDefaultStopWords("english") if english is None else english
     return tuple(sorted({*english, *config.DOMAIN_STOP_WORDS} - set(config.PROTECTED_TERMS)))
 
 

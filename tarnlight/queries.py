@@ -18,6 +18,7 @@ from .sources.html import pages_to_articles
 
 NOW = "2024-06-01 00:00:00"
 QUERY = "the hash and tion"
+ENGLISH = ("the", "of", "and", "to", "in", "list")
 KEYWORDS = (("the", 1.3), ("hash", 2.0), ("and", 1.5), ("of the", 2.2))
 
 
@@ -88,7 +89,7 @@ def indexing_report(spark, sf_dir):
 
 
 def stop_word_lengths(spark, sf_dir):
-    return index.build(_articles(spark, sf_dir), text.stop_words(), stems=False).doc_lengths
+    return index.build(_articles(spark, sf_dir), text.stop_words(ENGLISH), stems=False).doc_lengths
 
 
 def idf_table(spark, sf_dir):
@@ -403,7 +404,7 @@ def _relevance() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    stops = f" AND term NOT IN ({_list(text.stop_words())})"
+    stops = f" AND term NOT IN ({_list(text.stop_words(ENGLISH))})"
     related = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + f" THEN '{'; '.join(r)}'" for words, r in display.RELATED[:-1]) + f" ELSE '{'; '.join(display.RELATED[-1][1])}' END"
     path_is = lambda those: "regexp_matches({}, '" + "|".join(f"(?:{p})" for p in those) + "')"
     lengths = f"WITH {_PLAIN} SELECT doc_id, doc_length FROM l"
