@@ -18,7 +18,7 @@ gives an empty result.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -72,8 +72,12 @@ _WEIGHTS = mix(np.arange(64, dtype=np.uint64), 5) | np.uint64(1)
 _PLACE, _SECOND = np.uint64(0xD6E8_FEB8_6659_FD93), np.uint64(0xA076_1D64_78BD_642F)
 
 
-def _stretch(raw: list[bytes], sizes: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """tokens, their line; text, number, h1, h2 of each non-blank line of some whole texts."""
+def _lowered(raw: bytes) -> bytes:
+    return raw.lower() if raw.isascii() else raw.decode().lower().encode()
+
+
+def _stretch(raw: list[bytes], sizes: np.ndarray, width: int, choose: Callable[[np.ndarray], np.ndarray] | None) -> tuple[np.ndarray, ...]:
+    """tokens, their line; text, number, h1, h2 of each non-blank line of some whole texts that `choose` picks by h1."""
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     at, hashed = _hashed_words(data)
     ends = np.flatnonzero(data == 10)
@@ -88,31 +92,37 @@ def _stretch(raw: list[bytes], sizes: np.ndarray, width: int) -> tuple[np.ndarra
     text = text_of_line[lines]
     number = lines - np.searchsorted(text_of_line, text)
     with np.errstate(over="ignore"):
+        place = (np.arange(len(hashed)) - np.repeat(start, length)).astype(np.uint64)
+        in_order = mix(hashed + place * _PLACE, 8)
+        h1 = mix(np.add.reduceat(in_order, start), 9).view(np.int64)
+        h2 = mix(np.add.reduceat((in_order ^ (in_order >> np.uint64(29))) * _SECOND, start), 11).view(np.int64)
+        if choose is not None:
+            picked = choose(h1)
+            start, length, text, number, h1, h2 = (c[picked] for c in (start, length, text, number, h1, h2))
         # words of a shingle have a multiplier each; a shorter line is a shingle of its words and their number
         count = np.maximum(1, length - width + 1)
         line = np.repeat(np.arange(len(length)), count)
         first = np.arange(len(line)) + np.repeat(start + count - np.cumsum(count), count)
         padded = np.concatenate([hashed, np.zeros(width, np.uint64)])
-        sums = padded[: len(hashed)] * _WEIGHTS[0]
-        for k in range(1, width):
-            sums += padded[k : k + len(hashed)] * _WEIGHTS[k]
-        tokens = sums[first]
+        if choose is None:
+            tokens = padded[: len(hashed)] * _WEIGHTS[0]
+            for k in range(1, width):
+                tokens += padded[k : k + len(hashed)] * _WEIGHTS[k]
+            tokens = tokens[first]
+        else:
+            tokens = sum((padded[first + k] * _WEIGHTS[k] for k in range(width)), np.zeros(len(first), np.uint64))
         for i in np.flatnonzero(length < width):  # its own words only
             words = hashed[start[i] : start[i] + length[i]]
             tokens[np.searchsorted(line, i)] = (words * _WEIGHTS[: length[i]]).sum() + _WEIGHTS[63 - length[i]]
         tokens = mix(tokens, 99)
-        place = (np.arange(len(hashed)) - np.repeat(start, length)).astype(np.uint64)
-        in_order = mix(hashed + place * _PLACE, 8)
-        h1 = mix(np.add.reduceat(in_order, start), 9).view(np.int64)
-        h2 = mix(np.add.reduceat((in_order ^ (in_order >> np.uint64(29))) * _SECOND, start), 11).view(np.int64)
     return tokens, line, text, number, h1, h2
 
 
 class Lines:
     """Tokens of the non-blank lines of some texts, in whole arrays: tokens, their line; rows and numbers of the lines; class hashes."""
 
-    def __init__(self, found: list[str], width: int):
-        raw = [t.lower().encode() for t in found]
+    def __init__(self, found: list[bytes], width: int, choose: Callable[[np.ndarray], np.ndarray] | None = None):
+        raw = [_lowered(t) for t in found]
         sizes = np.array([len(t) + 1 for t in raw], np.int64)
         parts, first, n = [], 0, 0
         while first < len(raw):  # stretches of whole texts of about CHUNK bytes, which stay in the processor's cache
@@ -120,7 +130,7 @@ class Lines:
             while last < len(raw) and (last == first or size + sizes[last] <= CHUNK):
                 size += sizes[last]
                 last += 1
-            tokens, line, text, number, h1, h2 = _stretch(raw[first:last], sizes[first:last], width)
+            tokens, line, text, number, h1, h2 = _stretch(raw[first:last], sizes[first:last], width, choose)
             parts.append((tokens, line + n, text + first, number, h1, h2))
             n, first = n + len(text), last
         columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6
@@ -131,8 +141,8 @@ class Lines:
         return len(self.rows)
 
 
-def _columns(batch: pa.RecordBatch, width: int) -> tuple[list, Lines]:
-    return batch.column("doc_id").to_pylist(), Lines(batch.column("text").to_pylist(), width)
+def _lines(batch: pa.RecordBatch, width: int, choose: Callable[[np.ndarray], np.ndarray] | None = None) -> Lines:
+    return Lines(batch.column("text").cast(pa.binary()).to_pylist(), width, choose)
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -140,7 +150,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
     counts, uid = np.zeros(COUNTERS, np.int64), TaskContext.get().partitionId() << 36
     names, kinds = ["part", "counts", "uid", "doc_id", "line", "h1", "h2"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     for batch in batches:
-        ids, lines = _columns(batch, width)
+        ids, lines = batch.column("doc_id"), _lines(batch, width)
         counts += np.bincount((lines.tokens & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         rows = np.arange(len(ids))  # a row for each document too, for those without lines
         whole = batch.column("hash")
@@ -281,7 +291,7 @@ def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> Da
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            lines = _columns(batch, width)[1]
+            lines = _lines(batch, width)
             if not len(lines):
                 continue
             tokens, line, pos, n = _ordered(lines, rarity.value)
@@ -310,21 +320,24 @@ def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> Da
         table[r["w"]] = r["b"]
     mask = spark.sparkContext.broadcast(table)
 
+    def wanted(h1: np.ndarray) -> np.ndarray:
+        at = h1 % bits
+        return ((mask.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            lines = _columns(batch, width)[1]
+            lines = _lines(batch, width, wanted)
             if not len(lines):
                 continue
-            at = lines.h1 % bits
-            want = ((mask.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool) & _unseen(lines, seen)
-            if not want.any():
-                continue
-            pick = want[lines.line]
+            fresh = _unseen(lines, seen)
+            pick = fresh[lines.line]
             order = np.lexsort((lines.tokens[pick], lines.line[pick]))
             tokens, line = lines.tokens[pick][order].view(np.int64), lines.line[pick][order]
+            if not len(line):
+                continue
             starts = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(line)]])
-            yield pa.RecordBatch.from_arrays([pa.array(lines.h1[want]), pa.array(lines.h2[want]), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(tokens))], names=["h1", "h2", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.h1[fresh]), pa.array(lines.h2[fresh]), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(tokens))], names=["h1", "h2", "tokens"])
 
     sets = source.mapInArrow(whole, "h1 long, h2 long, tokens array<long>").dropDuplicates(["h1", "h2"])
     sets = sets.join(classes, ["h1", "h2"]).select("h1", "h2", "first", F.array_distinct("tokens").alias("tokens"))
