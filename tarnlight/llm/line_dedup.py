@@ -146,7 +146,7 @@ def _lines(batch: pa.RecordBatch, width: int, choose: Callable[[np.ndarray], np.
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document (h1: a hash of its text) and each line (h1, h2: its class); at the end the task's counts, in parts."""
+    """A row for each document (h1: a hash of its id and text) and each line (h1, h2: its class); at the end the task's counts, in parts."""
     counts, uid = np.zeros(COUNTERS, np.int64), TaskContext.get().partitionId() << 36
     names, kinds = ["part", "counts", "uid", "doc_id", "line", "h1", "h2"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     for batch in batches:
@@ -276,11 +276,11 @@ def _later(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.Rec
 
 
 def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> DataFrame:
-    """uid, doc_id, line, kept of each line, and a row with line null and _text, a hash of its text, of each document. uid tells rows apart that share a doc_id."""
+    """uid, doc_id, line, kept of each line, and a row with line null and _text, a hash of its id and text, of each document. uid tells rows apart that share a doc_id."""
     spark = docs.sparkSession
     source, t = texts(docs), Fraction(similarity)
     p, q = t.numerator, t.denominator
-    found = written(source.withColumn("hash", F.xxhash64("text")).mapInArrow(lambda b: _first_pass(b, width), LINES), "lines")
+    found = written(source.withColumn("hash", F.xxhash64("doc_id", "text")).mapInArrow(lambda b: _first_pass(b, width), LINES), "lines")
     parts = found.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInPandas(_summed, "part int, counts binary").collect()  # COUNTERS numbers
     rarity = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(COUNTERS, np.int64)
     rarity = spark.sparkContext.broadcast(np.log2(rarity + 1.0).clip(0, 63).astype(np.uint8))  # in powers of two
@@ -376,8 +376,10 @@ def without_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with the lines that go cut from their texts; all rows and columns stay. Of rows with equal doc_id and text, each gets one's cuts."""
     cut = _removed(docs, **how).select("uid", F.col("doc_id").alias("_id"), "_text", "n_removed", "removed")
     cut = cut.withColumn("_k", F.row_number().over(W.partitionBy("_id", "_text").orderBy("uid"))).where("n_removed > 0").select("_id", F.col("_text").alias("_hash"), "_k", "removed")
-    named = docs.withColumn("_id0", F.col("doc_id").cast("long")).withColumn("_hash0", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    named = named.withColumn("_k0", F.row_number().over(W.partitionBy("_id0", "_hash0").orderBy(F.xxhash64(*docs.columns))))
-    found = named.join(cut, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")) & (F.col("_k0") == F.col("_k")), "left")
+    named = docs.withColumn("_id0", F.col("doc_id").cast("long")).withColumn("_hash0", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    named = named.repartition("_hash0").withColumn("_k0", F.row_number().over(W.partitionBy("_hash0", "_id0").orderBy(F.xxhash64(*docs.columns))))
+    # the hash alone is the key of both the numbering and the join, so texts move once; the rest are conditions on what it brings together
+    same_id = F.coalesce(F.col("_id0") - F.col("_id") == 0, F.col("_id0").isNull() & F.col("_id").isNull())
+    found = named.join(cut, (F.col("_hash0") == F.col("_hash")) & same_id & (F.col("_k0") - F.col("_k") == 0), "left")
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
     return found.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
