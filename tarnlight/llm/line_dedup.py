@@ -205,29 +205,28 @@ POSTING = "token long, h1 long, n int, pos int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """The postings, once each, of tokens that several classes hold. What waits for company has a token of its own each, so a hot token's postings never pile up."""
-    met: set[int] = set()
+    """The postings, once each, of tokens that several classes hold. What waits for company has a token of its own each; of what went out only token and class are kept, so that none goes out twice."""
+    sent = np.zeros((2, 0), np.int64)
     held: list[np.ndarray] = []
     size = 0
 
     def settle() -> Iterator[pa.RecordBatch]:
-        nonlocal held, size
+        nonlocal held, sent, size
         if not held:
             return
-        rows = np.concatenate(held, axis=1)
-        rows = rows[:, np.lexsort((rows[1], rows[0]))]
-        new = np.ones(rows.shape[1], bool)
-        new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-        rows = rows[:, new]
-        same = rows[0, 1:] == rows[0, :-1]
-        company = np.zeros(rows.shape[1], bool)
+        rows, gone = np.concatenate(held, axis=1), sent.shape[1]
+        both = np.concatenate([sent, rows[:2]], axis=1)
+        order = np.lexsort((both[1], both[0]))  # stable: of equal postings the one that went out comes first
+        both = both[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (both[0, 1:] != both[0, :-1]) | (both[1, 1:] != both[1, :-1])
+        order, both = order[new], both[:, new]
+        same = both[0, 1:] == both[0, :-1]
+        company = np.zeros(len(order), bool)
         company[1:] |= same
         company[:-1] |= same
-        if met:
-            company |= np.isin(rows[0], np.fromiter(met, np.int64, len(met)))
-        out, rest = rows[:, company], rows[:, ~company]
-        met.update(out[0].tolist())
-        held, size = [rest], 0
+        out, rest = rows[:, order[company & (order >= gone)] - gone], rows[:, order[~company] - gone]  # what went out has company
+        held, sent, size = [rest], both[:, company], 0
         if out.shape[1]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3].astype(np.int32))], names=["token", "h1", "n", "pos"])
 
@@ -252,8 +251,8 @@ def _later(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.Rec
         found, helpful = [], []  # what matched before is tried first: variants of one line have that in common
         for j, (_, n, pos, tokens, h1, h2) in enumerate(group):
             for i in [*helpful, *range(j)]:
-                _, m, at, others, *_ = group[i]
-                if n * p > m * q or m * p > n * q:
+                _, m, at, others, *other = group[i]
+                if other == [h1, h2] or n * p > m * q or m * p > n * q:
                     continue
                 need = -(-(n + m) * p // (p + q))
                 if min(n - pos, m - at) >= need and len(tokens & others) >= need:
@@ -275,7 +274,7 @@ def _later(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.Rec
         yield from settle()
 
 
-def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> DataFrame:
+def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8", most: int = 2_000_000) -> DataFrame:
     """uid, doc_id, line, kept of each line, and a row with line null and _text, a hash of its id and text, of each document. uid tells rows apart that share a doc_id."""
     spark = docs.sparkSession
     source, t = texts(docs), Fraction(similarity)
@@ -299,7 +298,7 @@ def line_classes(docs: DataFrame, width: int = 5, similarity: str = "0.8") -> Da
             pick = _unseen(lines, seen)[line] & (pos < n - -(-p * n // q) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[pick].view(np.int64)), pa.array(lines.h1[line[pick]]), pa.array(n[pick].astype(np.int32)), pa.array(pos[pick].astype(np.int32))], names=["token", "h1", "n", "pos"])
 
-    postings = source.mapInArrow(prefixes, POSTING).repartition("token").mapInArrow(_shared, POSTING)
+    postings = source.mapInArrow(prefixes, POSTING).repartition("token").mapInArrow(lambda b: _shared(b, most), POSTING)
     shared = written(postings, "postings")
     held = shared.join(shared.groupBy("token").agg(F.count(F.lit(1)).alias("_n")), "token")
     cold, hot = held.where(F.col("_n") <= HOT), held.where(F.col("_n") > HOT)

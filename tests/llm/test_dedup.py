@@ -133,3 +133,31 @@ def test_line_dedup_against_all_pairs(spark):
     texts = sorted((r["text"] or "" for r in without_repeated_lines(df).collect()))
     assert texts == sorted("\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in want[k]) for k, (_, t, *_) in enumerate(rows))
     assert line_duplicates(df.limit(0)).count() == 0
+
+
+def test_line_dedup_of_crowded_tokens_in_many_tasks(spark):
+    """30 classes share a phrase that is rarer than the rest of them, unlike each other but for two; each line is in several input partitions."""
+    rng = random.Random(11)
+    phrase = " ".join(f"p{i}" for i in range(12))
+    common = [" ".join(f"c{c}x{i}" for i in range(40)) for c in range(30)]
+    lines = [f"{phrase} {x}" for x in common]
+    lines.append(lines[9].replace("c9x39", "other"))
+    rows = [(100 * part + k, lines[c], 0, "") for part in range(4) for k, c in enumerate(rng.sample(range(31), 31))]
+    tokens = [frozenset(tuple(x.split()[i : i + 5]) for i in range(48)) for x in lines]
+    want, kept = {}, []
+    for d, text, *_ in rows:
+        t = tokens[lines.index(text)]
+        want[d] = int(any(5 * len(t & other) >= 4 * len(t | other) for other in kept))
+        kept.append(t)
+    assert sum(not gone for gone in want.values()) == 30
+    rows += [(1000 + c, "\n".join([x] * 300), 0, "") for c, x in enumerate(common)]
+    want |= {1000 + c: 299 for c in range(30)}
+    rows = rows[:31] + rows[124:] + rows[31:124]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "25")
+    try:
+        got = line_duplicates(spark.createDataFrame(rows, SCHEMA), most=1).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r["doc_id"]: r["n_removed"] for r in got} == want
