@@ -161,3 +161,23 @@ def test_line_dedup_of_crowded_tokens_in_many_tasks(spark):
     finally:
         spark.conf.set(key, before)
     assert {r["doc_id"]: r["n_removed"] for r in got} == want
+
+
+def test_near_dedup_stage_against_all_pairs(spark):
+    """Pairs of all similarities from 0.5 to 1, in groups of two: those at 0.8 or more are found, the others stay."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows, similar = [], []
+    for k in range(300):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 400]))]
+        other = list(words)
+        for _ in range(rng.randint(0, max(1, len(words) // 25))):
+            other[rng.randrange(len(other))] = f"e{rng.randrange(5000)}"
+        rows += [(2 * k, " ".join(words), 0, ""), (2 * k + 1, " ".join(other), 0, "")]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, other))
+        similar.append(5 * len(a & b) >= 4 * len(a | b))
+    kept = {r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert all(2 * k in kept for k in range(300)) and all(2 * k + 1 in kept for k in range(300) if not similar[k])
+    found = [2 * k + 1 not in kept for k in range(300) if similar[k]]
+    assert 100 < len(found) < 250 and sum(found) >= 0.98 * len(found)
