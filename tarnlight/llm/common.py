@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,14 @@ from ..session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Only a session that is
+    one process may do without and get a temporary folder; on a cluster each machine would write to a disk of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarnlight-"))
-            found = spark.sparkContext.getCheckpointDir()
-        at = found
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarnlight-"))
+        at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
@@ -50,6 +51,28 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The columns given, and docs' own as one struct `row`, so that none of them can meet a name of the operator's."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), *(c.alias(name) for name, c in columns.items()))
+
+
+def uncarried(found: DataFrame, docs: DataFrame, **instead: Column) -> DataFrame:
+    """The columns of docs out of `row`; `instead` has new values for some."""
+    own = {c: F.col(f"row.{quoted(c)}") for c in docs.columns} | {c: v for c, v in instead.items() if c in docs.columns}
+    return found.select(*(v.alias(c) for c, v in own.items()))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; those of types that can't be hashed (maps) go in as JSON."""
+    odd = lambda f: any(x in f.dataType.json() for x in ('"type":"map"', '"variant"'))
+    return F.xxhash64(*(F.to_json(F.struct(F.col(quoted(f.name)).alias("c"))) if odd(f) else F.col(quoted(f.name)) for f in docs.schema.fields))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
