@@ -2,11 +2,16 @@
 
 Shards hold raw little-endian ids in ascending doc_id order (null first, then ties by text), each followed by its table
 of documents. The index is dealt to parts by a hash of the key; a part maps each key, through a minimal perfect hash and
-a stored fingerprint, to (shard, row, copies), so a document is found in constant time. Files go under a temporary name
-to the shared folder and are renamed when whole: a task that is run again replaces them by the same bytes.
+a stored fingerprint, to (shard, row, rows there, further shards), so a document is found in constant time. Rows that share
+a doc_id stand side by side, over as many shards as they fill: further shards begin with them.
 
-Defined cases: a null or empty text is the end id alone; rows with the same doc_id stand side by side and are found
-together; a null doc_id is a key like any other; other columns are ignored; an empty table gives no shard and no row.
+Every attempt at a task writes files of names of its own; those of the attempt that counts are in the task's rows, so a
+task that is run again, or twice at a time, never touches what another has written. Where shards and parts are is a table:
+nothing that grows with the corpus is held by the driver or sent to all tasks.
+
+Defined cases: a null or empty text is the end id alone; rows with the same doc_id are found together; a null doc_id is a
+key like any other, in a part of its own; other columns are ignored; an empty table gives no row. A text of any length is
+encoded whole, alone if it is longer than a stretch (8 MB), in about twelve times its size.
 """
 
 from __future__ import annotations
@@ -23,14 +28,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import mph, vocab
 from .common import new_path, shards, texts, written
 
 HEAD, FOOT = b"TLIDS001", b"TLIDSEND"
 SHARD_BYTES, PART_KEYS = 64 << 20, 250_000
-#: Stands for a null doc_id among the 64-bit keys; a document that has this very id can't stand beside null ones.
-NULL_KEY = 0x5D1F_22C7_90AB_E34D
+#: Ids that a reader holds at once, and the index part of the null key.
+READ_IDS, NULL_PART = 4 << 20, -1
+VALUES = ("shard", "row", "here", "further")
 
 
 def opened(uri: str):
@@ -42,31 +49,26 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put(uri: str, chunks: Iterator[bytes]) -> None:
-    """Writes a file under a name of its own, then gives it its name."""
-    files, path = opened(uri)
+def put(folder: str, name: str, kind: str, chunks: Iterator[bytes]) -> str:
+    """Writes a file under a name that no other attempt uses; returns the name."""
+    name = f"{name}-{uuid.uuid4().hex}{kind}"
+    files, path = opened(f"{folder}/{name}")
     files.create_dir(os.path.dirname(path), recursive=True)
-    draft = f"{os.path.dirname(path)}/_{uuid.uuid4().hex}"
-    with files.open_output_stream(draft) as out:
+    with files.open_output_stream(path) as out:
         for chunk in chunks:
             out.write(chunk)
-    files.move(draft, path)
+    return name
 
 
 @dataclass(frozen=True)
 class Store:
-    """Where the files are, the ids' width in bytes, how many index parts, and the first id's place of each shard."""
+    """Where the files are, the ids' width in bytes, how many index parts; tables of shards (shard, file, first id) and parts (part, file)."""
 
     path: str
     width: int
-    parts: int
-    first: dict[int, int]
-
-    def shard(self, k: int) -> str:
-        return f"{self.path}/shard-{k:07d}.ids"
-
-    def part(self, k: int) -> str:
-        return f"{self.path}/index-{k:07d}.mph"
+    n_parts: int
+    shards: DataFrame
+    parts: DataFrame
 
 
 class Shard:
@@ -91,104 +93,116 @@ class Shard:
     def __exit__(self, *_: object) -> None:
         self.file.close()
 
-    def rows(self, rows: np.ndarray) -> Iterator[bytes]:
-        """The ids of ascending rows; neighbours are read at once."""
-        for run in np.split(rows, np.flatnonzero(np.diff(rows) != 1) + 1) if len(rows) else []:
-            a, b = self.offsets[run[0]], self.offsets[run[-1] + 1]
-            raw = self.file.read_at(int(b - a) * self.width, 8 + int(a) * self.width)
-            for r in run:
-                yield raw[int(self.offsets[r] - a) * self.width : int(self.offsets[r + 1] - a) * self.width]
-
+    def leading(self) -> int:
+        """How many rows share the first one's key."""
+        same = (self.keys == self.keys[:1]) & (self.nulls == self.nulls[:1])
+        return self.docs if same.all() else int(np.argmin(same))
 
-def key_of(doc_id: str) -> Column:
-    return F.coalesce(F.col(doc_id), F.lit(NULL_KEY))
+    def read(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ascending rows by stretches of neighbours, READ_IDS ids at most but for longer documents: rows, and all their ids."""
+        for run in np.split(rows, np.flatnonzero(np.diff(rows) != 1) + 1) if len(rows) else []:
+            while len(run):
+                a = self.offsets[run[0]]
+                n = max(1, int(np.searchsorted(self.offsets[run + 1] - a, READ_IDS, side="right")))
+                raw = self.file.read_at(int(self.offsets[run[n - 1] + 1] - a) * self.width, 8 + int(a) * self.width)
+                yield run[:n], np.frombuffer(raw, f"<u{self.width}").astype("<u4")
+                run = run[n:]
 
 
-def part_of(key: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(77), key), F.lit(parts)).cast("int")
+def keyed(frame: DataFrame, parts: int) -> DataFrame:
+    """With key and part of each doc_id."""
+    key = F.coalesce(F.col("doc_id"), F.lit(0))
+    part = F.when(F.col("doc_id").isNull(), NULL_PART).otherwise(F.pmod(F.xxhash64(F.lit(77), key), F.lit(parts)).cast("int"))
+    return frame.withColumn("key", key).withColumn("part", part)
 
 
 def write_store(docs: DataFrame, path: str, end_id: int, width: int = 2) -> Store:
     """Encodes docs with the byte-level vocabulary at path, and writes shards and index. Texts are shuffled once, for the order."""
-    spark, code = docs.sparkSession, {2: "H", 4: "I"}[width]
-    source = texts(docs)
+    spark = docs.sparkSession
+    source, folder = texts(docs), new_path(spark, "ids")
     size = source.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    draft = Store(new_path(spark, "ids"), width, shards(size["n"], PART_KEYS), {})
+    n_parts = shards(size["n"], PART_KEYS)
     n_shards = max(shards(size["bytes"], SHARD_BYTES), min(spark.sparkContext.defaultParallelism * 3, max(1, size["n"])))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = vocab.byte_level(path, code).encode, end_id.to_bytes(width, "little")
-        shard, keys, offsets = TaskContext.get().partitionId(), [], [0]
+        words, shard, keys, sizes = vocab.ByteLevelIds(path), TaskContext.get().partitionId(), [], []
 
         def chunks() -> Iterator[bytes]:
             yield HEAD
             for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    raw = ids(text) + end
-                    keys.append(doc_id)
-                    offsets.append(offsets[-1] + len(raw) // width)
-                    yield raw
-            n = len(keys)
-            yield np.array([k or 0 for k in keys], "<i8").tobytes() + np.array([k is None for k in keys], np.uint8).tobytes() + np.array(offsets, "<u8").tobytes()
-            yield b"".join(x.to_bytes(8, "little") for x in (n, offsets[-1], 8 + offsets[-1] * width)) + FOOT
-
-        put(draft.shard(shard), chunks())
-        for at in range(0, len(keys), 10_000):
-            n = len(keys[at : at + 10_000])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at : at + n], pa.int64()), pa.array([shard] * n, pa.int32()), pa.array(range(at, at + n), pa.int32()), pa.array(np.diff(offsets[at : at + n + 1]), pa.int64())],
-                names=["doc_id", "shard", "row", "n"],
-            )
-
-    ordered = source.repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    places = written(ordered.mapInArrow(encode, "doc_id long, shard int, row int, n long"), "places")
+                keys.append(batch.column("doc_id"))
+                for _, some in vocab.stretches(batch.column("text")):
+                    found = words.encode_all(some, end_id)
+                    sizes.append(found.sizes)
+                    yield found.ids.astype(f"<u{width}").tobytes()
+            ids, ends = pa.chunked_array(keys, pa.int64()), np.cumsum(np.concatenate([[0], *sizes]), dtype="<u8")
+            yield ids.fill_null(0).to_numpy().astype("<i8").tobytes() + ids.is_null().to_numpy().astype(np.uint8).tobytes() + ends.tobytes()
+            yield b"".join(int(x).to_bytes(8, "little") for x in (len(ids), ends[-1], 8 + ends[-1] * np.uint64(width))) + FOOT
+
+        name = put(folder, f"shard-{shard:07d}", ".ids", chunks())
+        n = pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64))
+        ids, at = pa.chunked_array(keys, pa.int64()).combine_chunks(), 0
+        while at < len(ids):
+            k = min(10_000, len(ids) - at)
+            file = pa.array([name] + [None] * (k - 1) if at == 0 else [None] * k, pa.string())
+            yield pa.RecordBatch.from_arrays([ids.slice(at, k), pa.array(np.full(k, shard, np.int32)), file, pa.array(np.arange(at, at + k, dtype=np.int32)), n.slice(at, k)], names=["doc_id", "shard", "file", "row", "n"])
+            at += k
+
+    # neither an id that many rows share nor a text that they share is one shard's: the scan's partition splits them further
+    order = source.withColumn("start", F.substring("text", 1, 32)).withColumn("from", F.spark_partition_id())
+    ordered = order.repartitionByRange(n_shards, "doc_id", "start", "from").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+    places = written(ordered.mapInArrow(encode, "doc_id long, shard int, file string, row int, n long"), "places")
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys = group["key"].to_numpy(np.int64)
-        raw = mph.dump(keys.astype(np.uint64), {k: group[k].to_numpy(np.uint32) for k in ("shard", "row", "copies")})
-        put(draft.part(int(key[0])), iter([raw]))
-        return pd.DataFrame({"part": [int(key[0])], "keys": [len(keys)]})
+        raw = mph.dump(group["key"].to_numpy(np.int64).astype(np.uint64), {k: group[k].to_numpy(np.uint32) for k in VALUES})
+        return pd.DataFrame({"part": [int(key[0])], "file": [put(folder, f"index-{int(key[0]):07d}", ".mph", iter([raw]))]})
 
-    found = places.groupBy("doc_id").agg(F.min(F.struct("shard", "row")).alias("at"), F.count(F.lit(1)).alias("copies"))
-    found = found.select(key_of("doc_id").alias("key"), "at.shard", "at.row", "copies").withColumn("part", part_of(F.col("key"), draft.parts))
-    found.groupBy("part").applyInPandas(build, "part int, keys long").agg(F.sum("keys")).first()
-    first, at = {}, 0
-    for r in places.groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect():  # a row for each shard of SHARD_BYTES
-        first[r["shard"]], at = at, at + r["n"]
-    return Store(draft.path, width, draft.parts, first)
+    runs = places.groupBy("doc_id", "shard").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("here"))
+    first = F.min(F.struct("shard", "row", "here"))
+    found = runs.groupBy("doc_id").agg(first.alias("at"), F.max("shard").alias("last")).select("doc_id", "at.*", (F.col("last") - F.col("at.shard")).alias("further"))
+    parts = written(keyed(found, n_parts).groupBy("part").applyInPandas(build, "part int, file string"), "parts")
+    total = places.groupBy("shard").agg(F.sum("n").alias("n"), F.max("file").alias("file"))  # a row for each shard of SHARD_BYTES
+    total = written(total.withColumn("first", F.sum("n").over(W.orderBy("shard")) - F.col("n")).drop("n"), "shards")
+    return Store(folder, width, n_parts, total, parts)
 
 
 def locate(store: Store, keys: DataFrame) -> DataFrame:
-    """shard, row of each document whose doc_id is in keys (distinct); others give no row."""
+    """shard, row, rows of the runs of documents whose doc_id is in keys (distinct); rows null: all that lead the shard. Others give no row."""
 
     def ask(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        files, path = opened(store.part(int(key[0])))
-        if files.get_file_info(path).type.name == "NotFound":
-            return pd.DataFrame({"shard": [], "row": []}, dtype=np.int32)
+        files, path = opened(f"{store_path}/{group['file'].iloc[0]}")
         with files.open_input_stream(path) as f:
-            index = mph.Index(f.read(), ["shard", "row", "copies"])
+            index = mph.Index(f.read(), list(VALUES))
         _, at = index.find(group["key"].to_numpy(np.int64).astype(np.uint64))
-        times = at["copies"].astype(np.int64)
-        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        return pd.DataFrame({"shard": np.repeat(at["shard"], times).astype(np.int32), "row": (np.repeat(at["row"], times) + within).astype(np.int32)})
+        at = {k: v.astype(np.int64) for k, v in at.items()}
+        more = at["further"]
+        within = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        shard = np.concatenate([at["shard"], np.repeat(at["shard"], more) + 1 + within])
+        rows = pd.arrays.IntegerArray(np.concatenate([at["here"], np.zeros(len(within), np.int64)]), np.arange(len(shard)) >= len(more))
+        return pd.DataFrame({"shard": shard.astype(np.int32), "row": np.concatenate([at["row"], np.zeros(len(within), np.int64)]), "rows": rows})
 
-    asked = keys.select(key_of("doc_id").alias("key")).withColumn("part", part_of(F.col("key"), store.parts))
-    return asked.groupBy("part").applyInPandas(ask, "shard int, row int")
+    store_path = store.path
+    asked = keyed(keys.select("doc_id"), store.n_parts).join(store.parts, "part").select("part", "key", "file")
+    return asked.groupBy("part").applyInPandas(ask, "shard int, row long, rows long")
 
 
 def fetch(store: Store, places: DataFrame, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids as unsigned 32-bit little-endian binary) of the documents at places, read from the shards."""
-    width, first = store.width, store.first
-
-    def read(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        k, rows = int(key[0]), np.sort(group["row"].to_numpy())
-        with Shard(store.shard(k), width) as shard:
-            wide = [np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes() for raw in shard.rows(rows)]
-            ids = pd.arrays.IntegerArray(shard.keys[rows].astype(np.int64), shard.nulls[rows] == 1)
-            out = pd.DataFrame({"doc_id": ids, "start": first[k] + shard.offsets[rows], "n_tokens": np.diff(shard.offsets)[rows], "ids_crc32": [zlib.crc32(x) for x in wide]})
-        return out.assign(ids=wide) if with_ids else out
-
-    return places.groupBy("shard").applyInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    width, folder = store.width, store.path
+
+    def read(key: tuple, groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(groups))  # one row for each key of the shard
+        with Shard(f"{folder}/{group['file'].iloc[0]}", width) as shard:
+            rows = [np.arange(r, r + (shard.leading() if pd.isna(n) else int(n))) for r, n in zip(group["row"], group["rows"])]
+            for some, ids in shard.read(np.sort(np.concatenate(rows))):
+                at = shard.offsets[some] - shard.offsets[some[0]]
+                sizes, raw = np.diff(shard.offsets)[some], memoryview(ids).cast("B")
+                each = [raw[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), sizes.tolist())]
+                out = {"doc_id": pd.arrays.IntegerArray(shard.keys[some].astype(np.int64), shard.nulls[some] == 1), "start": int(group["first"].iloc[0]) + shard.offsets[some], "n_tokens": sizes, "ids_crc32": [zlib.crc32(x) for x in each]}
+                yield pd.DataFrame(out | ({"ids": [bytes(x) for x in each]} if with_ids else {}))
+
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return places.join(store.shards, "shard").groupBy("shard").applyInPandas(read, schema)
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

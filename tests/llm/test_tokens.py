@@ -116,3 +116,29 @@ def test_op4_round_trip(spark):
     one = fetch(store, locate(store, spark.createDataFrame([(2**60 + 1,), (77,)], "doc_id long")), with_ids=True).collect()
     assert len(one) == 1 and np.frombuffer(one[0]["ids"], "<u4").tolist() == library.encode("x" * 500).ids + [2]
     assert round_trip(df.limit(0), BYTES).count() == 0
+
+
+def test_op4_odd_keys_and_hot_ids(spark):
+    """The old stand-in for a null key beside a null key, and an id of many rows that fill several shards."""
+    hot = [(7, f"word {i % 40}", 0, "") for i in range(600)] + [(None, None, 0, "") for _ in range(200)]
+    rows = hot + [(0x5D1F_22C7_90AB_E34D, "odd", 0, ""), (0, "zero", 0, ""), (-1, "minus", 0, ""), (8, "long text " * 200_000, 0, "")]
+    library, at, want = Tokenizer.from_file(BYTES), 0, []
+    for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        want.append((doc_id, at, len(ids), crc(ids)))
+        at += len(ids)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(16)
+    assert sorted(map(tuple, round_trip(df, BYTES).collect()), key=str) == sorted(want, key=str)
+    store = write_store(df, BYTES, 2)
+    assert store.parts.count() == 2
+    assert fetch(store, locate(store, spark.createDataFrame([(7,)], "doc_id long"))).count() == 600
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_pieces_stand_in_configurations(seed):
+    """Every piece above a quarter of the capacity is placed by a configuration; sequences stay near the lower bound."""
+    rng = random.Random(100 + seed)
+    histogram = Counter(min(2048, int(rng.lognormvariate(5.5 + seed / 4, 1.2)) + 1) for _ in range(20_000))
+    plan = planned(dict(histogram), 2048)
+    assert plan.configured == sum(c for n, c in histogram.items() if n > 512)
+    assert plan.sequences <= 1.005 * -(-sum(n * c for n, c in histogram.items()) // 2048)
