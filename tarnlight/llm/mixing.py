@@ -13,7 +13,8 @@ range in which the budget ends, about sqrt(rows) rows, is put in full order. The
 
 Defined cases: a null, empty or blank text has size 0 and is never taken; rows that repeat are drawn one by one; the draw
 depends on the rows alone, so reruns agree; a source without words has target 0; an empty table gives an empty result.
-Columns besides doc_id, text and source stay out of the decisions.
+Columns besides doc_id, text and source, whatever their names and types, only order rows that are alike in these three. A text
+of any length is counted whole, in place.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import texts, written
+from .common import quoted, row_hash, texts, uncarried, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,14 +56,14 @@ def _source_key(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), column), F.lit("n"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row of docs, and the columns of docs named in keep as _keep_<name>."""
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, keep: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken of each row of docs, and with keep all its columns as one struct, row."""
     spark, passes = docs.sparkSession, max(1, math.ceil(most))
 
     def sized(*more: Column) -> DataFrame:
-        found = texts(docs, F.col("source").cast("string").alias("source"), *more)
-        kept = [c for c in found.columns if c.startswith("_keep_")]
-        return found.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(41), "doc_id", "text").alias("_draw"), *kept).withColumn("_key", _source_key(F.col("source")))
+        found = texts(docs, F.col("source").cast("string").alias("source"), row_hash(docs).alias("_hash"), *more)
+        kept = [c for c in found.columns if c == "row"]
+        return found.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(41), "doc_id", "text").alias("_draw"), "_hash", *kept).withColumn("_key", _source_key(F.col("source")))
 
     narrow = written(sized(), "sizes")
     rows = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
@@ -78,13 +79,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
     def queued(found: DataFrame) -> DataFrame:
         """With _end: words of the source up to and including the document, in the order of the draw."""
-        inside = W.partitionBy("_key", "_bucket").orderBy("_draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+        inside = W.partitionBy("_key", "_bucket").orderBy("_draw", "doc_id", "size", "_hash").rowsBetween(W.unboundedPreceding, 0)
         found = found.withColumn("_bucket", bucket).withColumn("_end", F.sum("size").over(inside)).join(before, ["_key", "_bucket"])
         return found.withColumn("_end", F.col("_end") + F.col("_before"))
 
     def ticket(k: int) -> Column:
         """The place in the queue of a document's k-th pass."""
-        return F.struct(((F.col("_end") + F.lit(k) * F.col("source_size")) / F.col("target")).alias("finish"), F.col("_key").alias("key"), F.col("_draw").alias("draw"), F.col("doc_id").alias("doc_id"))
+        return F.struct(((F.col("_end") + F.lit(k) * F.col("source_size")) / F.col("target")).alias("finish"), F.col("_key").alias("key"), F.col("_draw").alias("draw"), F.col("doc_id").alias("doc_id"), F.col("_hash").alias("hash"))
 
     tickets = queued(narrow).where("size > 0").select("size", F.explode(F.array(*map(ticket, range(passes)))).alias("t")).select("size", "t", F.floor(F.col("t.finish") * n_buckets).alias("range"))
     ranges = tickets.groupBy("range").agg(F.sum("size").alias("words")).withColumn("ahead", F.sum("words").over(W.orderBy("range")) - F.col("words"))
@@ -97,17 +98,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         if last is None:  # nothing of this range is taken
             taken = lambda k: F.floor(ticket(k)["finish"] * n_buckets) < F.lit(cut["range"])
         else:
-            bound = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["key"]).alias("key"), F.lit(last["draw"]).alias("draw"), F.lit(last["doc_id"]).cast("long").alias("doc_id"))
+            bound = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["key"]).alias("key"), F.lit(last["draw"]).alias("draw"), F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["hash"]).cast("long").alias("hash"))
             taken = lambda k: ticket(k) <= bound
         times = sum((F.when(taken(k), 1).otherwise(0) for k in range(passes)), F.lit(0))
-    wide = sized(*(F.col(c).alias(f"_keep_{c}") for c in keep)) if keep else narrow
+    wide = sized(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")) if keep else narrow
     out = F.when(F.col("size") > 0, F.col("size") * times).otherwise(F.lit(0)).cast("long")
-    return queued(wide).select("doc_id", "size", "source_size", "target", out.alias("taken"), *(f"_keep_{c}" for c in keep))
+    return queued(wide).select("doc_id", "size", "source_size", "target", out.alias("taken"), *(["row"] if keep else []))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of docs, each as often as the mix takes it."""
-    found = mix(docs, keep=docs.columns, **how)
+    found = mix(docs, keep=True, **how)
     times = (F.col("taken") / F.col("size")).cast("int")
-    found = found.where("taken > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
-    return found.select(*(F.col(f"_keep_{c}").alias(c) for c in docs.columns))
+    return uncarried(found.where("taken > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), times))), docs)

@@ -10,7 +10,9 @@ a document depend on its whole text and nothing else.
 
 Defined cases: a null text is empty, and scored like any text; documents with several labels count with the least; labels
 other than 0 and 1 or of documents not in docs don't count; if what remains has one class or none, every score is that
-class, or 1; a null doc_id is not held out; other columns are ignored; an empty table gives an empty result.
+class, or 1; a null doc_id is not held out; of rows that share a labelled doc_id one is learnt from; a text of any length is
+scored whole, in about twenty times its size; other columns, whatever their names and types, are ignored or carried unseen;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import texts
+from ..session import ship
+from .common import carried, quoted, texts, uncarried
 
 FEATURES = ("log_bytes", "log_words", "word_length", "upper", "digits", "punctuation", "symbols", "stops", "lines", "distinct_words", "repeats", "distinct_lines", "compression")
 _UPPER, _DIGITS, _PUNCTUATION = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -44,15 +49,30 @@ def features(text: bytes) -> tuple[float, ...]:
     )
 
 
+#: Texts whose features are taken at once.
+ROWS = 500
+
+
+def _matrix(texts: pa.Array) -> np.ndarray:
+    """Features of texts (null: empty), a row each; few are held as Python objects at a time."""
+    out = np.zeros((len(texts), len(FEATURES)))
+    for at in range(0, len(texts), ROWS):
+        for k, text in enumerate(texts.slice(at, ROWS).cast(pa.binary()).to_pylist(), at):
+            out[k] = features(text or b"")
+    return out
+
+
 def featured(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the columns named, and x (the features)."""
     kinds = dict(docs.dtypes)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.drop(columns="text").assign(x=[features(t.encode()) for t in f["text"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("text"))
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", *more)] + [own], names=["doc_id", *more, "x"])
 
-    return texts(docs, *more).mapInPandas(run, ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in more), "x array<double>"]))
+    return texts(docs, *more).mapInArrow(run, ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in more), "x array<double>"]))
 
 
 def _leaves(g: np.ndarray, h: np.ndarray, least: float, depth: int) -> np.ndarray:
@@ -147,7 +167,10 @@ def fitted(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> Add
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1) AND doc_id IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = known.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(most_labels)
-    chosen = texts(docs).join(F.broadcast(drawn), "doc_id")  # bounded by most_labels
+    # one row a doc_id, that of the least hash of its text: rows that repeat an id can't multiply
+    of = texts(docs).join(F.broadcast(drawn), "doc_id")  # bounded by most_labels
+    first = of.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("r"))
+    chosen = first.select("doc_id", "r.text", "r.quality")
     rows = featured(chosen, "quality").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
@@ -155,17 +178,29 @@ def fitted(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> Add
 
 
 def scores(docs: DataFrame, model: AdditiveModel, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs, and the columns named in keep."""
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in keep}
+    """doc_id, held_out, score, predicted of each row of docs, and the columns named in keep as _keep_<name>."""
+    named = texts(docs, *(F.col(quoted(c)).alias(f"_keep_{c}") for c in keep))
+    return _scored(named, model, threshold, lambda batch: batch.column("text"), [c for c in named.columns if c != "text"])
+
+
+def kept(docs: DataFrame, model: AdditiveModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that the model doesn't reject, with all their columns."""
+    ship(docs.sparkSession)
+    named, at = carried(docs, doc_id=F.col("doc_id").cast("long")), docs.columns.index("text")
+    found = _scored(named, model, threshold, lambda batch: pc.struct_field(batch.column("row"), at), named.columns)
+    return uncarried(found.where("predicted = 1"), docs)
+
+
+def _scored(named: DataFrame, model: AdditiveModel, threshold: float, text: Callable[[pa.RecordBatch], pa.Array], columns: list[str]) -> DataFrame:
+    """The columns given pass by as they are."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            x = np.array([features(t.encode()) for t in f["text"]], float).reshape(-1, len(FEATURES))
-            yield f.drop(columns="text").assign(score=model.score(x))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = pa.array(model.score(_matrix(text(batch))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), score], names=[*columns, "score"])
 
-    named = texts(docs, *(F.col(c).alias(f"_keep_{c}") for c in keep)).withColumn("held_out", held_out(F.col("doc_id")))
-    schema = ", ".join(["doc_id long", *(f"`_keep_{c}` {k}" for c, k in kinds.items()), "held_out boolean", "score double"])
-    found = named.mapInPandas(run, schema)
+    schema = StructType([*(named.schema[c] for c in columns), StructField("score", DoubleType())])
+    found = named.mapInArrow(run, schema).withColumn("held_out", held_out(F.col("doc_id")))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

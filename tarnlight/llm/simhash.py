@@ -8,8 +8,8 @@ again within the budget, until all units are small; a task then goes on from the
 those that join what isn't joined yet. Components are found on tables, and copies of a fingerprint count once throughout.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a text of fewer words than a shingle
-is one shingle; a component of null doc_ids alone has a null id; repeated rows give repeated rows; other columns are
-ignored; an empty table gives an empty result.
+is one shingle; a component of null doc_ids alone has a null id; repeated rows give repeated rows; a text of any length is
+hashed whole, in about ten times its size; other columns, whatever their names and types, are ignored or carried unseen; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import texts, written
+from .common import carried, row_hash, texts, uncarried, written
 from .components import components
 
 #: The most fingerprints of a pair of nodes that one task takes; bits by which the cluster descends in a larger one.
@@ -233,16 +233,16 @@ def one_of_each_group(docs: DataFrame, width: int = 5, budget: int = 3, crowd: i
 
     The rows that stay are chosen on doc_id and that hash; texts are shuffled for the last join alone.
     """
-    row = F.xxhash64(*docs.columns)
+    row = row_hash(docs)
     return _heads(docs, row, *_groups(docs, width, budget, crowd, row))
 
 
 def _heads(docs: DataFrame, row: Column, found: DataFrame, named: DataFrame) -> DataFrame:
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    heads = found.join(named, "fp").groupBy("root").agg(F.min(order).alias("head")).select("root", "head._id", "head._row")
-    kept = docs.withColumn("_row0", row).join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row0") == F.col("_row")))
-    once = kept.withColumn("_k", F.row_number().over(W.partitionBy("root").orderBy("_row")))  # rows that repeat in all columns
-    return once.where("_k = 1").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("head_id"), F.col("row").alias("head_hash"))
+    heads = found.join(named, "fp").groupBy("root").agg(F.min(order).alias("head")).select("root", "head.head_id", "head.head_hash")
+    kept = carried(docs, doc_id=F.col("doc_id").cast("long"), hash=row).join(heads, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash")))
+    once = kept.withColumn("k", F.row_number().over(W.partitionBy("root").orderBy("hash"))).where("k = 1")  # rows that repeat in all columns
+    return uncarried(once, docs)
 
 
 #: Bits in which fingerprints of texts at the similarity may differ (0.8: 9.7 expected, deviation 2.9), and fingerprints in a block.
@@ -310,7 +310,7 @@ def one_of_each_similar(docs: DataFrame, width: int = 5, similarity: str = "0.8"
     candidates that would join all are verified, then all candidates between groups that are still apart.
     """
     t = Fraction(similarity)
-    row = F.xxhash64(*docs.columns)
+    row = row_hash(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
