@@ -2,16 +2,19 @@
 
 The trees are grown on a bounded sample of the vectors (`sample` of them, by a hash of their ids); every vector is then
 indexed in a leaf of each tree. A query keeps the trees' open branches in one queue, ordered by how far the query lies on
-the wrong side of their splits, and takes leaves from it until these hold a share of all vectors; the share is the least
-of a ladder that finds `recall` of the true neighbours of sample vectors within the sample. What the leaves hold is scored
-exactly, in double precision. Inner products become distances by one more coordinate that gives all vectors one length.
+the wrong side of their splits, and takes leaves from it until these hold a share of all vectors, and in one tree more than
+k; the share is the least of a ladder that finds `recall` of the true neighbours of sample vectors within the sample, and
+ends with all leaves of all trees. What the leaves hold is scored exactly, in double precision. Inner products become distances by one more coordinate that gives all vectors one length.
 
-Equal vectors are one entry of the index, with their `k + 1` least ids: no other can be among the k nearest. A leaf with
-more than `block` entries is dealt to several blocks, each of which its queries visit.
+Equal vectors are one entry of the index, with a number of its own and their `k + 1` least ids: no other can be among the k
+nearest. A leaf with more than `block` entries is dealt to several blocks, each of which its queries visit. Trees have a
+leaf for every `LEAF` vectors, as far as the sample allows.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length
-isn't the most common one; of rows that repeat an id and vector one counts; fewer than k candidates give as many rows;
-other columns are ignored; an empty table gives an empty result.
+isn't the most common one, with which no inner product is defined; every row is a candidate for every other, those that
+repeat its id or its vector too, and rows that repeat in a query's id are queries one by one; a null vec_id is no query, and
+as a candidate comes last of equals; fewer than k candidates give as many rows; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,10 @@ from pyspark.sql.window import Window as W
 from ..session import ship
 from .common import written
 
-SHARES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 1.2, 1.6, 2.2, 3.0, 4.0)
+SHARES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 1.2, 1.6, 2.2, 3.0, 4.0, 6.0)
+
+#: Vectors a leaf, and the least and most leaves of a tree (a leaf then has four vectors of the sample at least).
+LEAF, LEAVES = 300, (8, 2500)
 
 
 @dataclass
@@ -86,12 +92,12 @@ class Tree:
         return -1 - at
 
 
-def visits(trees: list[Tree], counts: list[np.ndarray], point: np.ndarray, most: float) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of the shared queue, until they hold `most` entries."""
+def visits(trees: list[Tree], counts: list[np.ndarray], point: np.ndarray, most: float, least: int = 0) -> list[tuple[int, int]]:
+    """(tree, leaf) in the order of the shared queue, until they hold `most` entries, and those of one tree `least`."""
     sides = [t.normals @ point - t.splits for t in trees]
     heap = [(0.0, k, 0 if len(t.splits) else -1) for k, t in enumerate(trees)]
-    out, held = [], 0.0
-    while heap and held < most:
+    out, held, of_tree = [], 0.0, [0] * len(trees)
+    while heap and (held < most or max(of_tree) < least):
         off, k, node = heapq.heappop(heap)
         while node >= 0:
             side = sides[k][node]
@@ -100,6 +106,7 @@ def visits(trees: list[Tree], counts: list[np.ndarray], point: np.ndarray, most:
             node = int(near)
         out.append((k, -1 - node))
         held += counts[k][-1 - node]
+        of_tree[k] += int(counts[k][-1 - node])
     return out
 
 
@@ -121,7 +128,7 @@ class Forest:
     @classmethod
     def fit(cls, sample: np.ndarray, longest: float, trees: int, leaves: int, k: int, recall: float, seed: int) -> Forest:
         rng = np.random.default_rng(seed)
-        forest = cls([], longest, SHARES[-1])
+        forest = cls([], longest, float(trees))  # all leaves
         points = forest.lifted(sample)
         forest.trees = [Tree.grow(points, leaves, rng) for _ in range(trees)]
         placed = [t.leaf(points) for t in forest.trees]
@@ -148,32 +155,35 @@ class Forest:
         return forest
 
     def order(self, vector: np.ndarray, counts: list[np.ndarray]) -> list[tuple[int, int]]:
-        return visits(self.trees, counts, self.asked(vector), SHARES[-1] * counts[0].sum())
+        return visits(self.trees, counts, self.asked(vector), len(self.trees) * counts[0].sum())
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (double) of the rows that take part."""
     found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    found = found.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
+    found = found.where(F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
     common = found.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return found.where(F.size("embedding") == (common["d"] if common else 0)).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).distinct()
+    return found.where(F.size("embedding") == (common["d"] if common else 0)).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, leaves: int = 64, recall: float = 0.96, sample: int = 10_000, block: int = 20_000, seed: int = 17) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, leaves: int | None = None, recall: float = 0.96, sample: int = 10_000, block: int = 20_000, seed: int = 17) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each vector whose id is divisible by `every`."""
     spark = vectors.sparkSession
     ship(spark)
     found = written(usable(vectors), "vectors")
-    within = lambda *by: W.partitionBy("embedding", *by).orderBy("vec_id")
-    firsts = found.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("_r", F.row_number().over(within("_salt"))).where(F.col("_r") <= k + 1)
+    within = lambda *by: W.partitionBy("embedding", *by).orderBy(F.col("vec_id").asc_nulls_last())
+    firsts = found.withColumn("_salt", F.spark_partition_id()).withColumn("_r", F.row_number().over(within("_salt"))).where(F.col("_r") <= k + 1)
     firsts = firsts.withColumn("_r", F.row_number().over(within())).where(F.col("_r") <= k + 1)
-    entries = written(firsts.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.col("ids")[0]), "entries")  # at most k + 1 ids
+    # at most k + 1 ids, nulls last; collected in structs, as lists drop nulls. The number is fixed once the table is written
+    ids = F.transform(F.sort_array(F.collect_list(F.struct(F.col("vec_id").isNull().alias("n"), "vec_id"))), lambda x: x["vec_id"])
+    entries = written(firsts.groupBy("embedding").agg(ids.alias("ids")).withColumn("entry", F.monotonically_increasing_id()), "entries")
     stats = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
     result = "query_id long, rank int, vec_id long, score double"
     if not stats["n"]:
         return spark.createDataFrame([], result)
-    drawn = entries.select("embedding", F.xxhash64(F.lit(seed), "entry").alias("h")).orderBy("h").limit(sample).collect()
+    drawn = entries.select("embedding", F.xxhash64(F.lit(seed), "embedding").alias("h")).orderBy("h", "embedding").limit(sample).collect()
+    leaves = leaves or int(np.clip(min(stats["n"] / LEAF, len(drawn) / 4), *LEAVES))
     forest = Forest.fit(np.array([r["embedding"] for r in drawn]), float(np.sqrt(stats["longest"])), trees, leaves, k, recall, seed)
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,15 +204,16 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, le
         for f in frames:
             out: list[list] = [[], [], [], []]
             for entry, vector in zip(f["entry"], f["embedding"]):
-                for t, leaf in visits(forest.trees, counts, forest.asked(np.asarray(vector)), most):
+                for t, leaf in visits(forest.trees, counts, forest.asked(np.asarray(vector)), most, k + 2):
                     for b in range(blocks[t][leaf]):
                         for column, value in zip(out, (entry, t, leaf, b)):
                             column.append(value)
             yield pd.DataFrame(dict(zip(("query", "tree", "leaf", "block"), out)))
 
     queries = found.where(F.pmod("vec_id", F.lit(every)) == 0)
-    of = written(queries.join(entries.select("embedding", "entry"), "embedding").select(F.col("vec_id").alias("query_id"), "entry"), "queries")
-    asked = entries.join(of.select("entry").distinct(), "entry", "left_semi").select("entry", "embedding")
+    of = queries.join(entries.select("embedding", "entry"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query"))
+    of = written(of.withColumn("asker", F.monotonically_increasing_id()), "queries")  # rows that share an id are queries one by one
+    asked = entries.join(of.select(F.col("query").alias("entry")).distinct(), "entry", "left_semi").select("entry", "embedding")
     route = asked.repartition(max(1, spark.sparkContext.defaultParallelism), "entry").mapInPandas(queue, "query long, tree int, leaf int, block int")
     route = route.join(asked.select(F.col("entry").alias("query"), F.col("embedding").alias("vector")), "query")
     n_blocks = F.create_map(*(F.lit(x) for t, b in enumerate(blocks) for leaf, n in enumerate(b) if n > 1 for x in (t * 1_000_000 + leaf, int(n)))) if any((b > 1).any() for b in blocks) else None
@@ -226,14 +237,20 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, le
     key = ["tree", "leaf", "block"]
     scored = route.groupBy(*key).cogroup(placed.withColumn("block", dealt).groupBy(*key)).applyInPandas(score, "query long, entry long, score double")
     near = scored.groupBy("query", "entry").agg(F.max("score").alias("rough"))
-    near = near.withColumn("_r", F.rank().over(W.partitionBy("query").orderBy(F.desc(F.round("rough", 11))))).where(F.col("_r") <= k + 1).drop("_r")
+    near = near.join(asked.select(F.col("entry").alias("query"), F.col("embedding").alias("vector")), "query")
+    # all that reach the (k + 1)-th score but for rounding, which is relative to the lengths
+    edge = F.nth_value("rough", k + 1).over(W.partitionBy("query").orderBy(F.desc("rough")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    slack = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)) * F.lit(1e-12 * forest.longest)
+    near = near.withColumn("_edge", edge).where(F.col("_edge").isNull() | (F.col("rough") >= F.col("_edge") - slack))
     # Scores anew from the original vectors, summed in the order of components, then ids of equal vectors.
-    items = entries.select("entry", F.col("embedding").alias("item"), "ids")
-    near = near.join(items, "entry").join(asked.select(F.col("entry").alias("query"), F.col("embedding").alias("vector")), "query")
+    near = near.join(entries.select("entry", F.col("embedding").alias("item"), "ids"), "entry")
     dot = F.aggregate(F.zip_with("item", "vector", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    near = near.select("query", dot.alias("score"), F.explode("ids").alias("vec_id"))
-    near = near.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("_r") <= k + 1)
-    # A query's own id is among the k + 1 or not: the others keep their order.
-    full = of.join(near.withColumnRenamed("query", "entry"), "entry").where("vec_id <> query_id")
-    full = full.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    near = near.select("query", "entry", dot.alias("score"), F.posexplode("ids").alias("_p", "vec_id"))
+    order = [F.desc("score"), F.col("vec_id").asc_nulls_last(), F.col("entry"), F.col("_p")]
+    near = near.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("_r") <= k + 1)
+    near = near.withColumn("_copy", F.row_number().over(W.partitionBy("query", "entry", "vec_id").orderBy("_p")))
+    # A query's own row is among the k + 1 or not: the others keep their order.
+    own = (F.col("entry") == F.col("query")) & F.col("vec_id").eqNullSafe(F.col("query_id")) & (F.col("_copy") == 1)
+    full = of.join(near, "query").where(~own)
+    full = full.withColumn("rank", F.row_number().over(W.partitionBy("asker").orderBy("_r"))).where(F.col("rank") <= k)
     return full.select("query_id", "rank", "vec_id", "score")
