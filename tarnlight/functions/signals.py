@@ -57,12 +57,16 @@ def quality(title: Column, content: Column) -> Column:
 
 
 def readability(content: Column, nfkc: bool = True) -> Column:
-    whole = text.normalize(content, nfkc)
-    sentences = F.size(F.filter(F.split(whole, "[.!?]+"), lambda s: text.trim(s) != ""))
-    sentences, words = F.greatest(F.lit(1), sentences), F.greatest(F.lit(1), text.n_words(whole))
-    syllables = F.regexp_count(whole, F.lit("(?i)[aeiouy]+"))
-    grade = 0.39 * (words / sentences) + 11.8 * (syllables / words) - 15.59
-    return F.when(F.length(whole) < 100, F.lit(0.0)).otherwise(round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - grade * 5))))
+    def score(whole: Column) -> Column:
+        # a sentence goes from its first character that is no blank to the next stop
+        sentences = F.greatest(F.lit(1), F.regexp_count(whole, F.lit(f"[^.!?{text.SPACE[1:-1]}][^.!?]*")))
+        words = F.greatest(F.lit(1), text.n_words(whole))
+        syllables = F.regexp_count(whole, F.lit("(?i)[aeiouy]+"))
+        grade = 0.39 * (words / sentences) + 11.8 * (syllables / words) - 15.59
+        return F.when(F.length(whole) < 100, F.lit(0.0)).otherwise(round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - grade * 5))))
+
+    # as a lambda's argument the normalised text is computed once
+    return F.element_at(F.transform(F.array(text.normalize(content, nfkc)), score), 1)
 
 
 def popularity(content: Column, authority: Column, primary_domain: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .. import config
 from .porter import stem
 
-#: The white space of web scripts: Java's \s and trim() know less of it.
+# The white space of web scripts (Java's \s and trim() know less of it), and the pattern of a token.
 SPACE = "[\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 TOKEN = r"[a-z0-9]+(?:['\-][a-z0-9]+)*"
 
@@ -56,8 +56,7 @@ def analyzed(text: Column, stop: Sequence[str] = (), stems: bool = True) -> Colu
     """Index terms of a text, in order: tokens less stop words, stemmed if wanted."""
     found = raw_tokens(text)
     if stop:
-        words = F.array(*map(F.lit, stop))
-        found = F.filter(found, lambda x: ~F.array_contains(words, x))
+        found = F.filter(found, lambda x: ~x.isin(*stop))  # a hash set
     return stemmed(found) if stems else found
 
 

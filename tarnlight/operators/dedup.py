@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 def firsts(df: DataFrame, key: str, order: str) -> DataFrame:
     """Of rows with equal keys the one that comes first; partial aggregation keeps hot keys small. Null keys all stay."""
     rest = [c for c in df.columns if c not in (key, order)]
-    keyed = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest, F.col(order).alias("_order")), order).alias("_r"))
-    keyed = keyed.select(key, F.col("_r._order").alias(order), *(F.col(f"_r.{c}").alias(c) for c in rest))
-    return keyed.select(*df.columns).unionByName(df.where(F.col(key).isNull()))
+    # a number of its own sets each row without a key apart, so that one pass does for all
+    alone = df.withColumn("_alone", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    keyed = alone.groupBy(key, "_alone").agg(F.min_by(F.struct(*rest, F.col(order).alias("_order")), order).alias("_r"))
+    return keyed.select(key, F.col("_r._order").alias(order), *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
 def validated(batch: DataFrame, stored: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..sources.schemas import TIERS
 
 def tier_table(spark: SparkSession, profiles: tuple = config.SOURCE_PROFILES) -> DataFrame:
     """A row for each domain; of a domain listed twice the later profile holds."""
-    rows = {d: (name, d, authority, primary, float(score), float(least)) for name, authority, primary, score, least, domains in profiles for d in domains.split()}
+    rows = {d: (name, d, authority, primary, float(score), float(least)) for name, authority, primary, score, least, domains in profiles for d in domains}
     return spark.createDataFrame(list(rows.values()), TIERS)
 
 
@@ -22,7 +22,7 @@ def with_tier(df: DataFrame, host: str, profiles: tuple = config.SOURCE_PROFILES
     A host's suffixes are looked up as keys of a literal map, longest first: one pass, no join. The table is configuration,
     of fixed size.
     """
-    table = {d: (name, authority, primary, float(score), float(least)) for name, authority, primary, score, least, domains in profiles for d in domains.split()}
+    table = {d: (name, authority, primary, float(score), float(least)) for name, authority, primary, score, least, domains in profiles for d in domains}
     entry = lambda row: F.struct(*(F.lit(v).alias(k) for k, v in zip(("profile", "authority", "primary_domain", "authority_score", "min_quality"), row)))
     name, authority, primary, score, least, _ = profiles[-1]
     bare = urls.bare_host(F.coalesce(F.col(host), F.lit("")))

@@ -51,3 +51,17 @@ def test_streamed_index_is_the_batch_index(spark, tmp_path):
     got = incremental.stream_index(spark, f"{tmp_path}/index")
     want = index.build(articles, stems=False)
     assert sorted(map(str, got.terms.collect())) == sorted(map(str, want.terms.collect()))
+
+
+def test_parts_of_a_page():
+    """Authors by rel, class author-name and itemprop, in this order and all of each; the first time element alone; blank code is no code."""
+    of = lambda body: parse(f"<article>{body}</article>", "https://x.org/")
+    assert of('<b class="author-name"> A </b><i itemprop="author">B</i>')[2] == "A"
+    assert of('<i itemprop="author">B</i><meta name="author" content="M">')[2] == "B"
+    assert of('<b class="author">C</b>')[2] is None
+    assert of('<b class="author-name">C</b><a rel="author">R</a><a rel="author">S</a>')[2] == "RS"
+    head = '<meta property="article:published_time" content="2024-02-02">'
+    assert of(head + '<time>today</time><time datetime="2020-01-01">x</time>')[3] == "2024-02-02"
+    assert of(head + '<time datetime="2020-01-01">x</time>')[3] == "2020-01-01"
+    assert of("a<pre> </pre>b<code></code>c")[1] == "a bc" and of("<pre><code> x </code></pre>y")[1] == "```x``` y"
+    assert of("a<pre>open")[1] == "a ```open```"
