@@ -147,14 +147,18 @@ def _stretch(raw: list[bytes], rows: list[int], first: list[int], width: int, ch
     return Lines(tokens, line, np.array(rows)[piece], number, h1, h2)
 
 
-def stretches(found: list[bytes], width: int, choose: Choice | None = None) -> Iterator[Lines]:
-    """The lines of texts, in order, by stretches of about CHUNK bytes; long texts are cut between lines."""
+def stretches(found: list[bytes], width: int, choose: Choice | None = None, whole: bool = False) -> Iterator[Lines]:
+    """The lines of texts, in order, by stretches of about CHUNK bytes; long texts are cut between lines.
+
+    With `whole` a text is one line, however long, in which A-Z alone are lower-cased.
+    """
     raw, rows, first, size = [], [], [], 0
     for row, text in enumerate(found):
+        text = text.replace(b"\n", b" ").lower() if whole else text
         at, number = 0, 0
         while True:
             to = len(text)
-            if to - at > CHUNK:
+            if to - at > CHUNK and not whole:
                 cut = text.rfind(b"\n", at, at + CHUNK)
                 cut = text.find(b"\n", at) if cut < 0 else cut
                 to = cut if cut >= 0 else to
@@ -163,7 +167,7 @@ def stretches(found: list[bytes], width: int, choose: Choice | None = None) -> I
                     yield lines
                 raw, rows, first, size = [], [], [], 0
             part = text[at:to]
-            raw.append(_lowered(part))
+            raw.append(part if whole else _lowered(part))
             rows.append(row)
             first.append(number)
             size += to - at + 1
@@ -266,11 +270,11 @@ def _packed(rows: np.ndarray, hot: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "postings"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, p: int, q: int, rarity: np.ndarray, split: int, buckets: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, p: int, q: int, rarity: np.ndarray, split: int, buckets: int, most: int = 200_000, whole: bool = False) -> Iterator[pa.RecordBatch]:
     """Blocks of the postings of prefixes, each class once as far as the task remembers."""
     seen, held, hot, size = Seen(), [], [], 0
     for batch in batches:
-        for s in stretches(_raw(batch), width, seen.fresh):
+        for s in stretches(_raw(batch), width, seen.fresh, whole):
             tokens, rare, line, pos, n = _ordered(s, rarity)
             n = n[line]
             pick = pos < n - -(-p * n // q) + 1

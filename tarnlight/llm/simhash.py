@@ -15,11 +15,9 @@ hashed whole, in about ten times its size; other columns, whatever their names a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -240,105 +238,11 @@ def one_of_each_group(docs: DataFrame, width: int = 5, budget: int = 3, crowd: i
 def _heads(docs: DataFrame, row: Column, found: DataFrame, named: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("head_id"), F.col("row").alias("head_hash"))
     heads = found.join(named, "fp").groupBy("root").agg(F.min(order).alias("head")).select("root", "head.head_id", "head.head_hash")
+    return chosen_rows(docs, row, heads)
+
+
+def chosen_rows(docs: DataFrame, row: Column, heads: DataFrame) -> DataFrame:
+    """The row of docs for each of heads (root, head_id, head_hash)."""
     kept = carried(docs, doc_id=F.col("doc_id").cast("long"), hash=row).join(heads, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash")))
     once = kept.withColumn("k", F.row_number().over(W.partitionBy("root").orderBy("hash"))).where("k = 1")  # rows that repeat in all columns
     return uncarried(once, docs)
-
-
-#: Bits in which fingerprints of texts at the similarity may differ (0.8: 9.7 expected, deviation 2.9), and fingerprints in a block.
-WIDE, BLOCK = 16, 4000
-
-
-def _near(rows: pd.DataFrame, p: int, q: int, budget: int, forest: bool) -> pd.DataFrame:
-    """Pairs (u, v) of a unit's fingerprints with other roots, within the budget and with numbers of shingles that leave room.
-
-    With `forest` those alone that join what isn't joined yet, nearest first.
-    """
-    rows = rows.sort_values("side", kind="stable")
-    fp, n, root = rows["fp"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["root"].to_numpy()
-    left = int((rows["side"] == 0).sum())
-    alone = left == len(rows) and rows["alone"].all()
-    if not alone and left in (0, len(rows)):
-        return pd.DataFrame({"u": [], "v": []}).astype("int64")
-    start = 0 if alone else left
-    pairs: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, left, 256):
-        a = slice(at, min(at + 256, left))
-        differ = np.bitwise_count(fp[a, None] ^ fp[None, start:])
-        ok = (differ <= budget) & (root[a, None] != root[None, start:]) & (n[a, None] * q >= n[None, start:] * p) & (n[None, start:] * q >= n[a, None] * p)
-        i, j = np.nonzero(np.triu(ok, at + 1) if alone else ok)
-        pairs.append((i + at, j + start, differ[i, j]))
-    i, j, differ = (np.concatenate(c) for c in zip(*pairs))
-    if forest:
-        tree, chosen = np.arange(len(rows)), []
-        for bits in range(budget + 1):
-            for x, y in zip(*(c[differ == bits].tolist() for c in (i, j))):
-                if (below := tree[x]) != (above := tree[y]):
-                    tree[tree == below] = above
-                    chosen.append((x, y))
-            apart = tree[i] != tree[j]
-            i, j, differ = i[apart], j[apart], differ[apart]
-        i, j = np.array(chosen, np.int64).reshape(-1, 2).T
-    u, v = fp[i].view(np.int64), fp[j].view(np.int64)
-    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-
-def _candidates(values: DataFrame, similarity: Fraction, budget: int, block: int, forest: bool) -> DataFrame:
-    """Pairs (u, v) of values (fp, n, root) by blocks of like numbers of shingles: with n in classes by a factor just over 1 / similarity, only neighbouring classes can match."""
-    p, q = similarity.numerator, similarity.denominator
-    values = values.withColumn("c", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(q / p * 1.01))).cast("int"))
-    counts = {r["c"]: r["count"] for r in values.groupBy("c").count().collect()}  # one row for each class, under 100
-    blocks = [-(-counts.get(c, 0) // block) for c in range(max(counts, default=0) + 2)]
-    of = lambda c: F.element_at(F.array(*map(F.lit, blocks)), c + 1)
-    values = values.withColumn("o", F.pmod(F.xxhash64("fp"), of(F.col("c"))).cast("int"))
-    unit = lambda k, i, j, side: F.struct(k.cast("int").alias("k"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
-    ids = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    c, o = F.col("c"), F.col("o")
-    same = F.transform(ids(of(c)), lambda x: unit(2 * c, F.least(x, o), F.greatest(x, o), o > x))
-    up = F.transform(ids(of(c + 1)), lambda x: unit(2 * c + 1, o, x, F.lit(0)))
-    below = F.when(c > 0, of(F.greatest(c - 1, F.lit(0)))).otherwise(0)
-    down = F.transform(ids(below), lambda x: unit(2 * c - 1, x, o, F.lit(1)))
-    units = values.select("fp", "n", "root", F.explode(F.concat(same, up, down)).alias("t"))
-    units = units.select("t.k", "t.i", "t.j", "t.side", "fp", "n", "root", ((F.col("t.k") % 2 == 0) & (F.col("t.i") == F.col("t.j"))).alias("alone"))
-    return units.groupBy("k", "i", "j").applyInPandas(lambda rows: _near(rows, p, q, budget, forest), "u long, v long").distinct()
-
-
-def one_of_each_similar(docs: DataFrame, width: int = 5, similarity: str = "0.8", budget: int = WIDE, block: int = BLOCK) -> DataFrame:
-    """docs with one row of each group linked by Jaccard similarity of the shingle sets; the row as in one_of_each_group.
-
-    Fingerprints within the budget are candidates, and each link is verified on whole shingle sets. First the nearest
-    candidates that would join all are verified, then all candidates between groups that are still apart.
-    """
-    t = Fraction(similarity)
-    row = row_hash(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [shingle_hashes(x, width) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            found, sizes = [_majority(h) for h in hashes], [len(np.unique(h)) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64)), batch.column("row"), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "row", "n"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(x, width)).view(np.int64) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "tokens"])
-
-    found = written(texts(docs, row.alias("row")).mapInArrow(run, "doc_id long, fp long, row long, n long"), "fingerprints")
-    values = found.groupBy("fp").agg(F.min(F.struct("row", "n")).alias("r"), F.min("doc_id").alias("first")).select("fp", "r.row", "r.n", "first")
-    values = written(values, "distinct")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(values, "fp").select("fp", F.col("row").alias("_row"))
-        sets = texts(docs.select("doc_id", "text", row.alias("_row")).join(wanted, "_row"), "fp").mapInArrow(whole, "fp long, tokens array<long>")
-        sets = written(sets.dropDuplicates(["fp"]), "sets")
-        two = pairs.join(sets.alias("s"), F.col("u") == F.col("s.fp")).join(sets.alias("t"), F.col("v") == F.col("t.fp"))
-        both = F.size(F.array_intersect("s.tokens", "t.tokens"))
-        return written(two.where(both * t.denominator >= (F.size("s.tokens") + F.size("t.tokens") - both) * t.numerator).select("u", "v"), "links")
-
-    first = written(_candidates(values.withColumn("root", F.col("fp")), t, budget, block, True), "pairs")
-    links = verified(first)
-    joined = values.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    second = written(_candidates(written(joined, "joined"), t, budget, block, False).join(first, ["u", "v"], "left_anti"), "pairs")
-    links = links.unionByName(verified(second))
-    joined = values.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return _heads(docs, row, found, joined.select("fp", "root"))
