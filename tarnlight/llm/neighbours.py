@@ -10,9 +10,8 @@ Equal vectors are one entry of the index, with a number of its own and their `k
 nearest. A leaf with more than `block` entries is dealt to several blocks, each of which its queries visit. Trees have a
 leaf for every `LEAF` vectors, as far as the sample allows.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length
-isn't the most common one, with which no inner product is defined; every row is a candidate for every other, those that
-repeat its id or its vector too, and rows that repeat in a query's id are queries one by one; a null vec_id is no query, and
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; a vector shorter than the
+longest counts as if zeros followed, and is stored so; every row is a candidate for every other, those that repeat its id or its vector too, and rows that repeat in a query's id are queries one by one; a null vec_id is no query, and
 as a candidate comes last of equals; fewer than k candidates give as many rows; other columns are ignored; an empty table
 gives an empty result.
 """
@@ -159,12 +158,13 @@ class Forest:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (double) of the rows that take part."""
+    """vec_id and embedding (double, all of one length) of the rows that take part."""
     found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     found = found.where(F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
-    common = found.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return found.where(F.size("embedding") == (common["d"] if common else 0)).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
+    longest = F.lit(found.agg(F.max(F.size("embedding")).alias("d")).first()["d"] or 0)
+    zeros = F.array_repeat(F.lit(0.0), longest - F.size("embedding"))
+    return found.withColumn("embedding", F.concat(F.transform("embedding", lambda x: x + F.lit(0.0)), zeros))
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, leaves: int | None = None, recall: float = 0.96, sample: int = 10_000, block: int = 20_000, seed: int = 17) -> DataFrame:

@@ -44,3 +44,13 @@ def test_repeated_and_null_ids(spark):
     rows = [(20, v[0]), (20, v[1]), (1, v[2]), (3, v[3]), (20, v[0]), (None, v[4]), (None, v[2]), (40, v[5]), (40, v[5]), (5, v[5])]
     got = sorted(map(tuple, nearest(spark.createDataFrame(rows, SCHEMA).repartition(5), k=4).collect()), key=str)
     assert got == by_force(rows, 4)
+
+
+def test_vectors_of_several_lengths(spark):
+    """A shorter vector has zeros after its end, for which the products of dot() are left out."""
+    rng = np.random.default_rng(4)
+    rows = [(10 * i, [float(x) for x in rng.integers(1, 9, n)]) for i, n in enumerate((4, 4, 4, 1, 2, 7, 0, 3, 4))]
+    odd = [(200, None), (220, [0.0, 0.0]), (240, [1.0, None]), (260, [float("nan")]), (280, [float("inf")]), (300, [])]
+    got = sorted(map(tuple, nearest(spark.createDataFrame(rows + odd, SCHEMA), k=20).collect()), key=str)
+    assert got == by_force([r for r in rows if r[1]], 20)
+    assert nearest(spark.createDataFrame(odd, SCHEMA)).count() == 0
