@@ -11,9 +11,10 @@ nearest. A leaf with more than `block` entries is dealt to several blocks, each
 leaf for every `LEAF` vectors, as far as the sample allows.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; a vector shorter than the
-longest counts as if zeros followed, and is stored so; every row is a candidate for every other, those that repeat its id or its vector too, and rows that repeat in a query's id are queries one by one; a null vec_id is no query, and
-as a candidate comes last of equals; fewer than k candidates give as many rows; other columns are ignored; an empty table
-gives an empty result.
+longest counts as if zeros followed, and is stored so; every row is a candidate for every other, those that repeat its id or
+its vector too, and rows that repeat in a query's id are queries one by one; a null vec_id is no query, and as a candidate
+comes last of equals; fewer than k candidates give as many rows; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from .common import written
 
 SHARES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 1.2, 1.6, 2.2, 3.0, 4.0, 6.0)
 
-#: Vectors a leaf, and the least and most leaves of a tree (a leaf then has four vectors of the sample at least).
-LEAF, LEAVES = 300, (8, 2500)
+#: Vectors a leaf, and the least and most leaves of a tree (a leaf then has four vectors of a full sample at least). A query gets
+#: k + 1 rows from each leaf it visits: a leaf has to be large against that, or the rows are more than the work they save.
+LEAF, LEAVES = 2000, (64, 2500)
 
 
 @dataclass
@@ -221,28 +223,29 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, le
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "entry": [], "score": []}, dtype=np.int64).astype({"score": float})
+            return pd.DataFrame({"query": [], "entry": [], "score": [], "size": []}, dtype=np.int64).astype({"score": float, "size": float})
         items, ids = np.stack(right["embedding"].to_numpy()), right["entry"].to_numpy()
         out = []
         for a in range(0, len(left), 256):
             q = left.iloc[a : a + 256]
-            scores = np.stack(q["vector"].to_numpy()) @ items.T
+            asking = np.stack(q["vector"].to_numpy())
+            scores, size = asking @ items.T, np.linalg.norm(asking, axis=1)
             top = min(k + 1, len(ids))
             # ties at the edge stay: all that reach the top-th score
             edge = -np.partition(-scores, top - 1, axis=1)[:, top - 1]
             i, j = np.nonzero(scores >= (edge - 1e-12 * np.maximum(1.0, np.abs(edge)))[:, None])
-            out.append(pd.DataFrame({"query": q["query"].to_numpy()[i], "entry": ids[j], "score": scores[i, j]}))
+            out.append(pd.DataFrame({"query": q["query"].to_numpy()[i], "entry": ids[j], "score": scores[i, j], "size": size[i]}))
         return pd.concat(out)
 
     key = ["tree", "leaf", "block"]
-    scored = route.groupBy(*key).cogroup(placed.withColumn("block", dealt).groupBy(*key)).applyInPandas(score, "query long, entry long, score double")
-    near = scored.groupBy("query", "entry").agg(F.max("score").alias("rough"))
-    near = near.join(asked.select(F.col("entry").alias("query"), F.col("embedding").alias("vector")), "query")
+    scored = route.groupBy(*key).cogroup(placed.withColumn("block", dealt).groupBy(*key)).applyInPandas(score, "query long, entry long, score double, size double")
+    near = scored.groupBy("query", "entry").agg(F.max("score").alias("rough"), F.max("size").alias("size"))
     # all that reach the (k + 1)-th score but for rounding, which is relative to the lengths
     edge = F.nth_value("rough", k + 1).over(W.partitionBy("query").orderBy(F.desc("rough")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    slack = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)) * F.lit(1e-12 * forest.longest)
+    slack = F.col("size") * F.lit(1e-12 * forest.longest)
     near = near.withColumn("_edge", edge).where(F.col("_edge").isNull() | (F.col("rough") >= F.col("_edge") - slack))
     # Scores anew from the original vectors, summed in the order of components, then ids of equal vectors.
+    near = near.join(asked.select(F.col("entry").alias("query"), F.col("embedding").alias("vector")), "query")
     near = near.join(entries.select("entry", F.col("embedding").alias("item"), "ids"), "entry")
     dot = F.aggregate(F.zip_with("item", "vector", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     near = near.select("query", "entry", dot.alias("score"), F.posexplode("ids").alias("_p", "vec_id"))
