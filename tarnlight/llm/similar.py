@@ -2,8 +2,10 @@
 
 SimHash fingerprints are joined by their tries; each link found is verified on whole shingle sets. Fingerprints within a few
 bits are only part of what is similar at 0.8 (about 10 of 64 bits differ there), and tries prune nothing at such a budget.
-So the rest is found exactly: texts that similar share a shingle among the first n - ceil(0.8 n) + 1 of each, in one order of
-all shingles, rarest first (see line_dedup, whose postings, buckets and filters this uses on whole texts).
+So pairs that differ in more bits than the budget are found exactly: texts that similar share a shingle among the first
+n - ceil(0.8 n) + 1 of each, in one order of all shingles, rarest first (see line_dedup, whose postings, buckets and filters
+this uses on whole texts). Pairs within the budget are the tries' alone: where all links of a component of fingerprints are
+similar, they join every such pair in it. Where one is not, the component's pairs that share such a shingle are verified too.
 
 A shingle that more than a few texts have so early makes no pairs. Its texts are first joined in blocks, each text in one
 block of its commonest such shingle, a few rounds with other blocks; this collapses groups of near copies, whatever their
@@ -89,14 +91,18 @@ def _links(docs: DataFrame, found: DataFrame, nodes: DataFrame, width: int, t: F
     u, v = (heads.select(F.col("fp").alias(c), F.col("of_fp").alias(f"{c}_head")) for c in "uv")
     near = near.join(u, "u").join(v, "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
     near = near.unionByName(nodes.select("fp", "node").join(heads, "fp").where("node <> of_fp").select(F.col("of_fp").alias("u"), F.col("node").alias("v")))
+    near = written(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
 
-    # by shared early shingles
+    # by shared early shingles, where fingerprints differ in more bits
     split, buckets = int(ld._code(max(hot_from, 4 * total / ld.COUNTERS))), max(1, -(-int(total * (1 - float(t) + 1 / 20)) // most))
     blocks = source.mapInArrow(lambda b: ld._prefixes(b, width, p, q, rarity.value, split, buckets, whole=True), "bucket long, postings binary")
     met = written(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: ld._met(b, buckets, p, q), ld.CANDIDATE), "candidates")
-    a, b = nodes.select("h1", "h2", F.col("node").alias("u")), nodes.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("node").alias("v"))
-    cold = met.where("token IS NULL").select("h1", "h2", "b1", "b2").distinct().join(a, ["h1", "h2"]).join(b, ["b1", "b2"]).select("u", "v")
-    pairs = written(near.unionByName(cold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    a, b = nodes.select("h1", "h2", F.col("node").alias("u"), F.col("fp").alias("u_fp")), nodes.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("node").alias("v"), F.col("fp").alias("v_fp"))
+    cold = met.where("token IS NULL").select("h1", "h2", "b1", "b2").distinct().join(a, ["h1", "h2"]).join(b, ["b1", "b2"])
+    close = F.bit_count(F.col("u_fp").bitwiseXOR(F.col("v_fp"))) <= budget
+    cold = written(cold.select("u", "v", close.alias("close")), "cold")
+    pairs = near.withColumn("near", F.lit(True)).unionByName(cold.where("NOT close").select("u", "v", F.lit(False).alias("near")))
+    pairs = written(pairs, "pairs")
     hot = met.where("token IS NOT NULL").select("token", "h1", "h2", "n").dropDuplicates(["token", "h1", "h2"])
     hot = written(hot.join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("token", "node", "n"), "hot")
 
@@ -123,8 +129,16 @@ def _links(docs: DataFrame, found: DataFrame, nodes: DataFrame, width: int, t: F
     sets = written(sets, "sets")
     x, y = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "uv")
     both = F.size(F.array_intersect("u_tokens", "v_tokens"))
-    links = pairs.join(x, "u").join(y, "v").where(both * q >= (F.size("u_tokens") + F.size("v_tokens") - both) * p)
-    links = written(links.select("u", "v"), "links")
+    alike = both * q >= (F.size("u_tokens") + F.size("v_tokens") - both) * p
+    checked = pairs.join(x, "u").join(y, "v").select("u", "v", "near", alike.alias("alike")).where("near OR alike")
+    checked = written(checked, "checked")
+    links, failed = checked.where("alike").select("u", "v"), checked.where("NOT alike")
+    if not failed.isEmpty():  # tries join by chains: what a link that failed held together may be similar all the same
+        of = components(near)
+        loose = failed.select(F.col("u").alias("node")).join(of, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
+        again = cold.where("close").select("u", "v").join(of.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+        again = again.join(loose, "root", "left_semi").join(x, "u").join(y, "v").where(alike)
+        links = links.unionByName(written(again.select("u", "v"), "links"))
 
     def live(links: DataFrame) -> DataFrame:
         """The postings of crowded shingles whose texts are in several groups, with their groups."""

@@ -216,3 +216,32 @@ def test_near_dedup_of_large_groups_against_all_pairs(spark, how):
     got = sorted((r["doc_id"] for r in one_of_each_similar(spark.createDataFrame(table, SCHEMA).repartition(6), **how).collect()), key=str)
     assert got == want
     assert len(groups) < len(table) - 100
+
+
+def test_near_dedup_of_loose_fingerprints_against_all_pairs(spark):
+    """At 24 bits the tries chain unlike texts: where such a link fails the check, pairs of its component are found all the same."""
+    test_near_dedup_of_large_groups_against_all_pairs(spark, {"budget": 24})
+
+
+def test_pipeline_near_dedup_takes_close_fingerprints_from_the_tries(spark, monkeypatch):
+    """Copies with other line breaks and an edited word outlast the line dedup. Those within 3 bits come by the tries alone, the others by shingles."""
+    import corpus_pipeline
+    from tarnlight.llm import similar
+
+    rng = random.Random(31)
+    rows, close = [], set()
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(500)]
+        other = [f"e{k}" if i == 250 else w for i, w in enumerate(words)]
+        rows += [(2 * k + side, "\n".join(" ".join(x[i : i + n]) for i in range(0, 500, n)), 0, "") for side, x, n in ((0, words, 7), (1, other, 11))]
+        a, b = (similar.fingerprint(t.encode(), 5) for _, t, *_ in rows[-2:])
+        if 0 < (a ^ b).bit_count() <= 3:  # equal ones need no trie
+            close.add(2 * k + 1)
+    assert 10 < len(close) < 50
+    docs = corpus_pipeline.lines_stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    first = {2 * k for k in range(60)}
+    kept = lambda: {r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()}
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == {d: t for d, t, *_ in rows}
+    assert kept() == first
+    monkeypatch.setattr(similar, "trie_join", lambda values, *how: values.selectExpr("fp AS u", "fp AS v").where("false"))
+    assert kept() == first | close
