@@ -224,7 +224,7 @@ def _code(counts: np.ndarray | float) -> np.ndarray:
 
 def _ordered(lines: Lines, rarity: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct tokens of each line, rarest first: tokens, their rarity, their line, their place in it, and each line's number of them."""
-    rare = rarity[(lines.tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    rare = rarity[(lines.tokens & np.uint64(len(rarity) - 1)).astype(np.int64)]
     # one key of line, rarity and most of the token sorts faster than three; where two tokens share it, all three decide
     key = (lines.line.astype(np.uint64) << np.uint64(44)) | (rare.astype(np.uint64) << np.uint64(37)) | (lines.tokens >> np.uint64(27))
     order = np.argsort(key)

@@ -35,23 +35,44 @@ from .components import components
 from .simhash import chosen_rows, fingerprint, trie_join
 
 FOUND = pa.schema([("part", pa.int32()), ("counts", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+#: Shingles that share a counter on average, and the most counters (64 MB when broadcast, as large in a task).
+SHARED, MOST_COUNTERS = 16, 1 << 26
 #: Rounds that join blocks of crowded shingles before the rest is compared exactly: any number gives the same groups.
 ROUNDS = 2
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of each text its fingerprint and its class (h1, h2: its words in order; 0, 0 without words); at the end the task's counts of shingles, in parts."""
-    counts = np.zeros(ld.COUNTERS, np.int64)
+def counters_for(size: int) -> int:
+    """How many counters of rarity texts of so many bytes get: a power of two that grows with them. With a fixed number counts
+    drown in those of other shingles, and passages that many unlike texts share come early and are compared."""
+    return min(MOST_COUNTERS, max(ld.COUNTERS, 1 << (size // (6 * SHARED)).bit_length()))  # about 6 bytes a word
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], width: int, n_counters: int) -> Iterator[pa.RecordBatch]:
+    """Of each text its fingerprint and its class (h1, h2: its words in order; 0, 0 without words); at the end the task's counts of shingles, up to 255 each, in packed parts, with the number of shingles as row of the first."""
+    counts, total = np.zeros(n_counters, np.uint8), 0
     record = lambda n, **columns: pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in FOUND], schema=FOUND)
     for batch in batches:
         raw, h1, h2 = ld._raw(batch), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for s in ld.stretches(raw, width, whole=True):
-            np.add.at(counts, (s.tokens & np.uint64(ld.COUNTERS - 1)).astype(np.int64), 1)
+            at, more = np.unique((s.tokens & np.uint64(n_counters - 1)).astype(np.int64), return_counts=True)
+            counts[at] = np.minimum(counts[at] + more, 255)
+            total += len(s.tokens)
             h1[s.rows], h2[s.rows] = s.h1, s.h2
         prints = np.array([fingerprint(x, width) for x in raw], np.uint64).view(np.int64)
         yield record(len(raw), doc_id=batch.column("doc_id"), row=batch.column("row"), fp=pa.array(prints), h1=pa.array(h1), h2=pa.array(h2))
-    if counts.any():
-        yield record(ld.CHUNKS, part=pa.array(range(ld.CHUNKS), pa.int32()), counts=pa.array([c.astype("<i8").tobytes() for c in np.split(counts, ld.CHUNKS)], pa.binary()))
+    for k, part in enumerate(np.split(counts, ld.CHUNKS) if total else ()):
+        packed = pa.compress(part.tobytes(), codec="zstd", asbytes=True)
+        yield record(1, part=pa.array([k], pa.int32()), counts=pa.array([packed], pa.binary()), row=pa.array([0 if k else total], pa.int64()))
+
+
+def _rarity(key: tuple, parts: Iterator[pd.DataFrame], n_counters: int) -> Iterator[pd.DataFrame]:
+    """The rarity of a part's counters over all tasks, and the number of shingles as the first part has it."""
+    sums, total = np.zeros(n_counters // ld.CHUNKS, np.int64), 0
+    for part in parts:
+        for packed in part["counts"]:
+            sums += np.frombuffer(pa.decompress(packed, len(sums), codec="zstd", asbytes=True), np.uint8)
+        total += int(part["row"].sum())
+    yield pd.DataFrame({"part": [key[0]], "counts": [ld._code(sums).tobytes()], "row": [total]})
 
 
 def _joined(key: tuple, rows: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
@@ -78,12 +99,17 @@ def _joined(key: tuple, rows: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
     return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
 
-def _links(docs: DataFrame, found: DataFrame, nodes: DataFrame, width: int, t: Fraction, budget: int, most: int, hot_from: int, unit: int) -> DataFrame:
+def _links(docs: DataFrame, found: DataFrame, nodes: DataFrame, width: int, n_counters: int, t: Fraction, budget: int, most: int, hot_from: int, unit: int) -> DataFrame:
     """Links (u, v) of nodes (node, h1, h2, fp) that join all which are linked by chains of similar texts."""
     spark, p, q = docs.sparkSession, t.numerator, t.denominator
-    parts = found.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInPandas(ld._summed, "part int, counts binary").collect()  # COUNTERS numbers
-    counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(ld.COUNTERS, np.int64)
-    source, rarity, total = texts(docs), spark.sparkContext.broadcast(ld._code(counts)), int(counts.sum())
+
+    def rarities(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _rarity(key, parts, n_counters)
+
+    parts = found.where("part IS NOT NULL").select("part", "counts", "row").groupBy("part").applyInPandas(rarities, "part int, counts binary, row long")
+    parts = sorted(parts.collect(), key=lambda r: r["part"])  # a byte a counter
+    codes = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in parts]) if parts else np.zeros(n_counters, np.uint8)
+    source, rarity, total = texts(docs), spark.sparkContext.broadcast(codes), sum(r["row"] for r in parts)
 
     # by the tries of fingerprints; of equal fingerprints each text is linked with the first
     heads = nodes.groupBy("fp").agg(F.min("node").alias("of_fp"))
@@ -94,7 +120,7 @@ def _links(docs: DataFrame, found: DataFrame, nodes: DataFrame, width: int, t: F
     near = written(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
 
     # by shared early shingles, where fingerprints differ in more bits
-    split, buckets = int(ld._code(max(hot_from, 4 * total / ld.COUNTERS))), max(1, -(-int(total * (1 - float(t) + 1 / 20)) // most))
+    split, buckets = int(ld._code(max(hot_from, 4 * total / n_counters))), max(1, -(-int(total * (1 - float(t) + 1 / 20)) // most))
     blocks = source.mapInArrow(lambda b: ld._prefixes(b, width, p, q, rarity.value, split, buckets, whole=True), "bucket long, postings binary")
     met = written(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: ld._met(b, buckets, p, q), ld.CANDIDATE), "candidates")
     a, b = nodes.select("h1", "h2", F.col("node").alias("u"), F.col("fp").alias("u_fp")), nodes.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("node").alias("v"), F.col("fp").alias("v_fp"))
@@ -172,11 +198,13 @@ def _links(docs: DataFrame, found: DataFrame, nodes: DataFrame, width: int, t: F
 def one_of_each_similar(docs: DataFrame, width: int = 5, similarity: str = "0.8", budget: int = 3, most: int = ld.BUCKET, hot_from: int = ld.SPLIT, unit: int = ld.UNIT) -> DataFrame:
     """docs with one row of each group linked by Jaccard similarity of the shingle sets."""
     row = row_hash(docs)
-    found = texts(docs, row.alias("row")).mapInArrow(lambda b: _hashed(b, width), "part int, counts binary, doc_id long, row long, fp long, h1 long, h2 long")
+    size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_counters = counters_for(size)
+    found = texts(docs, row.alias("row")).mapInArrow(lambda b: _hashed(b, width, n_counters), "part int, counts binary, doc_id long, row long, fp long, h1 long, h2 long")
     found = written(found, "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("head_id"), F.col("row").alias("head_hash"))
     nodes = found.where("part IS NULL").groupBy("h1", "h2").agg(F.min("fp").alias("fp"), F.min(order).alias("head"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = _links(docs, found, nodes, width, Fraction(similarity), budget, most, hot_from, unit)
+    links = _links(docs, found, nodes, width, n_counters, Fraction(similarity), budget, most, hot_from, unit)
     heads = nodes.join(components(links), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("head").alias("head"))
     return chosen_rows(docs, row, heads.select("root", "head.head_id", "head.head_hash"))

@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -245,3 +246,27 @@ def test_pipeline_near_dedup_takes_close_fingerprints_from_the_tries(spark, monk
     assert kept() == first
     monkeypatch.setattr(similar, "trie_join", lambda values, *how: values.selectExpr("fp AS u", "fp AS v").where("false"))
     assert kept() == first | close
+
+
+def test_rarity_counters_grow_with_the_texts():
+    """Counters that grow with the texts keep a shared passage last in the order of shingles, where few of fixed number let it come early."""
+    from tarnlight.llm import line_dedup as ld
+    from tarnlight.llm import similar
+
+    assert similar.counters_for(0) == ld.COUNTERS and similar.counters_for(10**12) == similar.MOST_COUNTERS
+    assert similar.counters_for(4 * 10**9) == 4 * similar.counters_for(10**9) > 4 * ld.COUNTERS
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [" ".join([*(f"w{rng.randrange(10**9)}" for _ in range(60)), *passage]).encode() for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts]), pa.array(range(400), pa.int64()), pa.array(range(400), pa.int64())], names=["text", "doc_id", "row"])
+    early = {}
+    for n in (1 << 10, 1 << 21):
+        out = pa.Table.from_batches(similar._hashed(iter([batch]), 5, n)).to_pandas()
+        parts = [next(similar._rarity((k,), iter([g]), n)) for k, g in out[out["part"].notna()].groupby("part")]
+        assert sum(p["row"].iloc[0] for p in parts) == 400 * 68
+        rarity = np.frombuffer(b"".join(p["counts"].iloc[0] for p in parts), np.uint8)
+        assert len(rarity) == n
+        blocks = ld._prefixes(iter([batch]), 5, 4, 5, rarity, 128, 1, whole=True)
+        tokens = np.concatenate([np.frombuffer(b, ld._POSTING) for r in blocks for b in r.column("postings").to_pylist()])["token"]
+        early[n] = len(tokens) - len(np.unique(tokens))
+    assert early[1 << 21] == 0
