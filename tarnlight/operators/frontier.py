@@ -61,9 +61,9 @@ def undated_page(articles: DataFrame, after: str = "", n: int = 200) -> DataFram
     return articles.where(F.col("published_date").isNull() & F.col("last_crawled_at").isNull() & (F.col("id") > after)).orderBy("id").limit(n)
 
 
-def schedule(pages: DataFrame, host: Column, delay: Column, least: float = 0.3) -> DataFrame:
-    """pages with start_after: seconds until each may be fetched, its host's pages one after another."""
+def schedule(pages: DataFrame, host: Column, delay: Column, least: float = 0.3, ties: str | None = None) -> DataFrame:
+    """pages with start_after: seconds until each may be fetched, its host's pages one after another by url, equal urls by the column `ties`."""
     from pyspark.sql.window import Window as W
 
-    order = W.partitionBy("_host").orderBy("url")
+    order = W.partitionBy("_host").orderBy("url", *([ties] if ties else []))
     return pages.withColumn("_host", host).withColumn("start_after", (F.row_number().over(order) - 1) * F.greatest(F.lit(least), delay)).drop("_host")

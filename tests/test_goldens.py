@@ -175,3 +175,14 @@ def test_index_invariants(spark, engine):
 def test_saved_index_reads_the_same(spark, engine, tmp_path):
     saved = engine.index.save(str(tmp_path))
     assert sorted(saved.terms.collect()) == sorted(engine.index.terms.collect())
+
+
+def test_schedule_of_equal_urls(spark, tmp_path):
+    """Pages of the same url follow each other by page_id, wherever they lie in the table."""
+    from tarnlight import queries
+
+    pages = spark.createDataFrame([(i, "https://x.org/a" if i % 3 else "https://x.org/b", "") for i in range(40, 0, -1)], "page_id long, url string, html string")
+    pages.repartition(5, "page_id").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["start_after"], r["page_id"]) for r in queries.crawl_schedule(spark, str(tmp_path)).collect())
+    order = [i for i in range(1, 41) if i % 3] + [i for i in range(1, 41) if not i % 3]
+    assert got == [(float(k), i) for k, i in enumerate(order)]
