@@ -78,10 +78,9 @@ class SearchEngine:
     def suggest(self, query: str, limit: int = 6, least_idf: float = config.MIN_SUGGEST_IDF) -> DataFrame:
         """term, score: other terms of the matching documents, by the sum of their idf over these documents."""
         asked = self.terms(query)
-        docs = self.index.postings.where(F.col("term").isin(asked)).select("doc_id").distinct()
-        counted = self.index.postings.join(docs, "doc_id", "left_semi").where(~F.col("term").isin(asked)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        n_docs = self.index.doc_lengths.agg(F.count(F.lit(1)).alias("total_documents"))
         idf = ranking.idf(F.col("total_documents"), F.col("doc_freq"))
-        rated = counted.join(self.index.terms, "term").crossJoin(F.broadcast(self.index.stats)).withColumn("idf", idf).where(F.col("idf") >= least_idf)
+        rated = self.index.beside(asked).crossJoin(F.broadcast(n_docs)).withColumn("idf", idf).where(F.col("idf") >= least_idf)
         return rated.select("term", (F.col("n") * F.col("idf")).alias("score")).orderBy(F.desc("score"), "term").limit(limit)
 
     def respond(self, q: str | None, now: Column, limit: object = 10, offset: object = 0, explain: bool = False) -> dict:

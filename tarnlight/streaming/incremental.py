@@ -24,7 +24,7 @@ def index_stream(articles: DataFrame, path: str, checkpoint: str, stop: Sequence
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = ix.postings(ix.tokens(ix.indexable(batch), stop, stems)).withColumn("batch", F.lit(batch_id))
+        found = ix.postings(ix.indexable(batch), stop, stems).withColumn("batch", F.lit(batch_id))
         found.write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id:012d}")
 
     return articles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -177,6 +177,36 @@ def test_saved_index_reads_the_same(spark, engine, tmp_path):
     assert sorted(saved.terms.collect()) == sorted(engine.index.terms.collect())
 
 
+def test_index_of_shared_ids(spark, engine):
+    """Rows of one id are one document; the tables, the suggestions and the part that a query reads agree with stored postings."""
+    rows = [("d1", "Map", "a hash map"), (None, "Tree", "tree of hash nodes"), ("d1", "Hash map", "list map map"), (None, "List", "tree list"), ("d2", "Sort", "map of lists"), ("d3", None, "- -")]
+    articles = spark.createDataFrame([(i, "u", t, c, None) for i, t, c in rows], "id string, url string, title string, content string, published_date date")
+    built = index.build(articles, stems=False)
+    got = {(r["doc_id"], r["term"]): r for r in built.postings.collect()}
+    assert len(got) == built.postings.count() and got["d1", "map"]["positions"] == [0, 1, 102, 103, 104] and got["d1", "map"]["title_tf"] == 2
+    stored = index.from_postings(built.postings)
+    for name in ("terms", "doc_lengths", "stats"):
+        assert sorted(map(str, getattr(built, name).collect())) == sorted(map(str, getattr(stored, name).collect())), name
+    of = lambda found: SearchEngine(found, articles, engine.signals, stems=False)
+    for query in ("hash", "hash tree", "absent"):
+        part = index.for_terms(articles, text.query_terms(query, stems=False), stems=False)
+        assert sorted(map(str, of(part).bm25(query).collect())) == sorted(map(str, of(stored).bm25(query).collect()))
+        assert of(built).suggest(query, least_idf=0.0).collect() == of(stored).suggest(query, least_idf=0.0).collect()
+        part.doc_lengths.unpersist()
+
+
+@pytest.mark.parametrize("name, exchanged", [("corpus_stats", 0), ("suggest_terms", 0), ("doc_lengths", 0), ("postings", 0), ("search_date_after", 0), ("stemmed_search", 0), ("index_upsert", 0)])
+def test_no_shuffle_of_tokens(spark, small, name, exchanged):
+    """Tokens of documents are counted in their rows: no exchange deals rows by document and term, but for ids of several rows."""
+    from tarnlight import queries
+
+    plan = queries.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "collect_list(position" in line for line in plan.splitlines() if "positions" not in line)
+    found = [line for line in plan.splitlines() if "Aggregate [doc_id" in line and "term" in line.split("], [")[0]]
+    assert len(found) == exchanged
+    spark.catalog.clearCache()
+
+
 def test_schedule_of_equal_urls(spark, tmp_path):
     """Pages of the same url follow each other by page_id, wherever they lie in the table."""
     from tarnlight import queries
