@@ -28,7 +28,8 @@ def round_half_up(value: Column) -> Column:
 
 
 def code_blocks(content: Column) -> Column:
-    return sum((F.regexp_count(content, F.lit(p)) for p in config.CODE_BLOCKS), F.lit(0))
+    found = sum((F.regexp_count(content, F.lit(p)) for p in config.CODE_BLOCKS), F.lit(0))
+    return F.when(F.contains(content, F.lit("<")) | F.contains(content, F.lit("```")), found).otherwise(F.when(content.isNotNull(), F.lit(0)))
 
 
 def is_algorithmic(content: Column) -> Column:
@@ -61,19 +62,28 @@ def readability(content: Column, nfkc: bool = True) -> Column:
         # a sentence goes from its first character that is no blank to the next stop
         sentences = F.greatest(F.lit(1), F.regexp_count(whole, F.lit(f"[^.!?{text.SPACE[1:-1]}][^.!?]*")))
         words = F.greatest(F.lit(1), text.n_words(whole))
-        syllables = F.regexp_count(whole, F.lit("(?i)[aeiouy]+"))
-        grade = 0.39 * (words / sentences) + 11.8 * (syllables / words) - 15.59
-        return F.when(F.length(whole) < 100, F.lit(0.0)).otherwise(round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - grade * 5))))
+        syllables = F.regexp_count(whole, F.lit("[aeiouy]+"))
+        # blanks change none of these counts, only the length, and a start that is long enough settles that
+        long = lambda part: F.length(text.collapse(part)) >= 100
+        enough = F.when(long(F.substring(whole, 1, 500)), F.lit(True)).otherwise(long(whole))
+        counts = F.when(enough, F.struct(sentences.alias("sentences"), words.alias("words"), syllables.alias("syllables")))
+        return F.element_at(F.transform(F.array(counts), graded), 1)
 
-    # as a lambda's argument the normalised text is computed once
-    return F.element_at(F.transform(F.array(text.normalize(content, nfkc)), score), 1)
+    def graded(n: Column) -> Column:
+        grade = 0.39 * (n["words"] / n["sentences"]) + 11.8 * (n["syllables"] / n["words"]) - 15.59
+        return F.when(n.isNull(), F.lit(0.0)).otherwise(round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - grade * 5))))
+
+    # as a lambda's argument a value is computed once
+    return F.element_at(F.transform(F.array(text.lowered(content, nfkc)), score), 1)
 
 
 def popularity(content: Column, authority: Column, primary_domain: Column) -> Column:
     content = F.coalesce(content, F.lit(""))
-    words, code = text.n_words(content), code_blocks(content)
-    total = _first(*((authority == k, v) for k, v in config.AUTHORITY_BONUS.items())) + _first(*((primary_domain == k, v) for k, v in config.DOMAIN_BONUS.items()))
-    total = total + _first((words > 2000, 20), (words > 1000, 12), (words > 500, 6)) + _first((code >= 3, 15), (code >= 1, 8)) + _points((states_complexity(content), 10), (is_structured(content), 5))
+    known = _first(*((authority == k, v) for k, v in config.AUTHORITY_BONUS.items())) + _first(*((primary_domain == k, v) for k, v in config.DOMAIN_BONUS.items()))
+    # as a lambda's argument the counts are computed once; a word and a blank take two characters
+    counts = F.struct(F.when(F.length(content) > 1000, text.n_words(content)).otherwise(F.lit(0)).alias("words"), code_blocks(content).alias("code"))
+    rated = lambda n: _first((n["words"] > 2000, 20), (n["words"] > 1000, 12), (n["words"] > 500, 6)) + _first((n["code"] >= 3, 15), (n["code"] >= 1, 8))
+    total = known + F.element_at(F.transform(F.array(counts), rated), 1) + _points((states_complexity(content), 10), (is_structured(content), 5))
     return F.least(F.lit(100.0), total)
 
 

@@ -216,3 +216,16 @@ def test_schedule_of_equal_urls(spark, tmp_path):
     got = sorted((r["start_after"], r["page_id"]) for r in queries.crawl_schedule(spark, str(tmp_path)).collect())
     order = [i for i in range(1, 41) if i % 3] + [i for i in range(1, 41) if not i % 3]
     assert got == [(float(k), i) for k, i in enumerate(order)]
+
+
+def test_signals_count_once(spark):
+    """A text's words and code are counted once however many steps ask for them; blanks change only the length that decides whether a text is rated."""
+    plan = lambda c: spark.range(1).select(F.col("id").cast("string").alias("t")).select(c(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(lambda t: signals.popularity(t, F.lit("CANONICAL"), F.lit("DSA"))).count("regexp_extract_all") == 4
+    assert "substring" in plan(lambda t: signals.readability(t, nfkc=False))  # no pass over a long text's blanks
+    word = "aeb. "
+    texts = [word * 30, " \n" * 600 + word * 30, (word + "\t" * 60) * 30, (word + " " * 60) * 15, " " * 2000, word * 20, word * 19 + "aeb. c", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(signals.readability(F.col("t"), nfkc=False)).collect()]
+    assert got[0] == got[1] == got[2] > 0 and got[3:6] == [0.0] * 3 and got[6] > 0 and got[7] == 0.0
+    counted = spark.createDataFrame([("w " * n + ("<code>x</code>" if code else ""),) for n, code in ((500, 0), (501, 0), (1001, 0), (2001, 0), (3, 1))], "t string")
+    assert [r[0] for r in counted.select(signals.popularity(F.col("t"), F.lit("x"), F.lit("y"))).collect()] == [r + 0.0 for r in (0, 6, 12, 20, 8)]
