@@ -35,15 +35,17 @@ def judged(pages: DataFrame, now: Column, **relevance) -> DataFrame:
     ship(pages.sparkSession)
     found = pages_to_articles(pages.select("url", "html")).withColumn("host", urls.hostname(F.col("url")))
     found = with_tier(found, "host")
-    found = found.withColumn("published_date", signals.parsed_date(F.col("date_raw"))).withColumn("content_hash", text.content_hash(F.col("content")))
+    found = found.withColumn("published_date", signals.parsed_date(F.col("date_raw"))).withColumns({"_title": text.nfkc(F.col("title")), "_content": text.nfkc(F.col("content"))})  # once for all that need it
+    found = found.withColumn("content_hash", text.content_hash(F.col("_content"), nfkc=False))
     title, content, published = F.col("title"), F.col("content"), F.col("published_date").cast("timestamp")
     found = found.withColumns(
         {
-            "quality_score": signals.quality(title, content), "readability_score": signals.readability(content), "freshness_score": ranking.freshness_bucket(published, now),
+            "quality_score": signals.quality(title, content), "readability_score": signals.readability(F.col("_content"), nfkc=False), "freshness_score": ranking.freshness_bucket(published, now),
             "popularity_score": signals.popularity(content, F.col("authority"), F.col("primary_domain")),
         }
     )
-    found = signals.with_relevance(found, **relevance)
+    score = signals.relevance(*(text.normalize(F.col(c), nfkc=False) for c in ("_title", "_content")), **relevance)
+    found = found.withColumn("relevance_score", score).drop("_title", "_content")
     return found.withColumn("reject_reason", signals.gate_reason(title, content, F.col("quality_score"), F.col("min_quality"), F.col("relevance_score")))
 
 

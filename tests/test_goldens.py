@@ -229,3 +229,16 @@ def test_signals_count_once(spark):
     assert got[0] == got[1] == got[2] > 0 and got[3:6] == [0.0] * 3 and got[6] > 0 and got[7] == 0.0
     counted = spark.createDataFrame([("w " * n + ("<code>x</code>" if code else ""),) for n, code in ((500, 0), (501, 0), (1001, 0), (2001, 0), (3, 1))], "t string")
     assert [r[0] for r in counted.select(signals.popularity(F.col("t"), F.lit("x"), F.lit("y"))).collect()] == [r + 0.0 for r in (0, 6, 12, 20, 8)]
+
+
+def test_pages_in_small_parts(spark, small):
+    """Pages are parsed in parts of a batch, and a crawl normalises each text once, in one Python step."""
+    import pyarrow as pa
+
+    from tarnlight.plans import crawl
+    from tarnlight.sources import html, tables
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(450))], names=["n"])
+    assert [p.num_rows for p in html._records(batch, 200)] == [200, 200, 50]
+    plan = crawl.judged(tables.read(spark, small, "pages"), now())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1
